@@ -6,7 +6,6 @@ holds one slice of text at a time, whatever the size of the corpus.
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,16 +63,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int) -> np.ndarray:
-    """Powers of the hash base, at least n of them."""
-    return _powers(1 << max(10, int(n).bit_length()))
+    """Powers of the hash base, at least n of them; kept for small n."""
+    size = 1 << max(10, int(n).bit_length())
+    if size not in _POWERS:
+        out = np.full(size, _BASE, U64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if size > 1 << 22:
+            return out
+        _POWERS[size] = out
+    return _POWERS[size]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bag_minhash, quality_rules
 
 QUERIES = {
+    "op9_bag_minhash": bag_minhash.op9_bag_minhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
