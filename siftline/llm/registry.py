@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, quality_rules
+from . import bag_minhash, language_id, quality_rules, suffix_dedup
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op9_bag_minhash": bag_minhash.op9_bag_minhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
