@@ -8,9 +8,10 @@ probability of their weighted Jaccard similarity, and a large count costs its lo
 up to a time at which every slot is likely full are made in numpy for a whole slice of texts at once.
 
 Scale: equal texts share one id (64-bit hash), so copies never meet in pairs. A band bucket links its members
-to one hub (the member with most bucket mates), never to each other. Members that the hub does not explain,
-and only those, are then compared by signature inside tiles of bounded size, so that no link is lost to
-the hub's choice. Verification reads 32-bit shingle hashes of the two texts. Components are found by
+to one hub (the member with most bucket mates), never to each other. Where a connected
+area of such candidates has members that verified links do not join, those members are compared exactly with all of
+the area, in tiles of bounded size with a posting list each, so that no link is lost to the hub's choice; only links
+that join something new leave a tile. Verification reads 32-bit shingle hashes of the two texts. Components are found by
 star contraction over DataFrames with checkpoints.
 
 Defined cases: a null text, or one without words, is in a class of its own; a null doc_id keeps its row, and a
@@ -25,16 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, components, cut, map_arrow, mix, shared_dir, shingles, slices, span_hashes, table, words, written
+from .common import U64, binaries, components, cut, map_arrow, mix, shingles, slices, span_hashes, table, words, written
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 SIMILARITY = 0.8
-#: Signatures estimate a similarity with a standard deviation of at most 0.0355 at 0.8; pairs below this estimate are out.
-ESTIMATE = 0.64
-TILE = 512
+#: Texts of one area of candidates that a task compares at once (with as many others).
+TILE = 2048
 _STEP, _SLOT = U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7)
 
 
@@ -96,7 +96,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(tid, n, keys, sig, bag) from (tid, text): one row for each tid of a task, none for texts without words."""
+    """(tid, n, keys, bag) from (tid, text): one row for each tid of a task, none for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -119,11 +119,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 keys = band_keys(sig[has])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tids[lo:hi][has]), pa.array(size[has]), flat, binaries([x for x in (sig[has] & U64(0xFF)).astype(np.uint8)]), binaries([bag[ends[i] - size[i] : ends[i]] for i in has])],
-                    names=["tid", "n", "keys", "sig", "bag"],
+                    [pa.array(tids[lo:hi][has]), pa.array(size[has]), flat, binaries([bag[ends[i] - size[i] : ends[i]] for i in has])],
+                    names=["tid", "n", "keys", "bag"],
                 )
 
-    return docs.mapInArrow(run, "tid long, n long, keys array<long>, sig binary, bag binary")
+    return docs.mapInArrow(run, "tid long, n long, keys array<long>, bag binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -154,20 +154,43 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY)
     return map_arrow(both, run, "a long, b long")
 
 
-def _unexplained(group: pa.Table) -> pa.Table:
-    """Pairs of a tile that lie in different components and whose signatures agree in enough slots."""
-    side = group.column("side").to_numpy()
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(group.num_rows, SLOTS)
-    tid, comp = group.column("tid").to_numpy(), group.column("comp").to_numpy()
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+def _unexplained(group: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
+    """Links between the components of a tile: exact overlaps, from one posting list, of every text outside the largest component.
+
+    Sides 0 and 1 are compared with each other, side 2 with itself. Links that join nothing new are not returned.
+    """
+    side, tid, size = (group.column(c).to_numpy() for c in ("side", "tid", "n"))
+    _, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+    bags = [np.frombuffer(x, np.uint32) for x in group.column("bag").to_pylist()]
+    owner = np.repeat(np.arange(len(bags)), size)
+    item = np.concatenate([(x.astype(U64) << U64(32)) | (np.arange(len(x)) - np.searchsorted(x, x)).astype(U64) for x in bags])  # hash and how many times before
+    order = np.argsort(item, kind="stable")
+    posted, holder = item[order], owner[order]
+    starts = np.cumsum(size) - size
+    parent = np.arange(int(comp.max()) + 1)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     a, b = [], []
-    for i in left:
-        agree = (sig[right] == sig[i]).mean(1)
-        hit = right[(agree >= ESTIMATE) & (comp[right] != comp[i])]
-        a.append(np.minimum(tid[hit], tid[i]))
-        b.append(np.maximum(tid[hit], tid[i]))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"a": join(a), "b": join(b)})
+    for i in np.flatnonzero(comp != np.bincount(comp).argmax()):
+        own = item[starts[i] : starts[i] + size[i]]
+        lo, hi = np.searchsorted(posted, own), np.searchsorted(posted, own, "right")
+        many = hi - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        both = np.bincount(holder[at], minlength=len(bags))
+        ok = both >= similarity * (size + size[i] - both) - 1e-9
+        ok &= (side == 2) if side[i] == 2 else (side == 1 - side[i])
+        for j in np.flatnonzero(ok):
+            x, y = find(comp[i]), find(comp[j])
+            if x != y:
+                parent[x] = y
+                a.append(min(tid[i], tid[j]))
+                b.append(max(tid[i], tid[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -184,17 +207,13 @@ def links(docs: DataFrame) -> DataFrame:
     bags = cut(made.select("tid", "n", "bag").join(known, "tid", "left_semi").dropDuplicates(["tid"]))
     star = cut(star)
     first = cut(verified(star, bags))
-    comp = components(first)
-    placed = member.join(comp.toDF("tid", "root"), "tid", "left").select("key", "tid", "mates", F.coalesce("root", "tid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    sigs = made.select("tid", "sig").join(known, "tid", "left_semi").dropDuplicates(["tid"])
-    tile = F.pmod(F.xxhash64(F.col("tid")), F.col("tiles")).cast("int")
+    placed = components(star).toDF("tid", "area").join(components(first).toDF("tid", "root"), "tid", "left").select("tid", "area", F.coalesce("root", "tid").alias("comp"))
+    mixed = placed.groupBy("area").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("area", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    cell = lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"), F.when(F.col("tile") == o, 2).otherwise(F.when(F.col("tile") < o, 0).otherwise(1)).alias("side"))
-    tiled = placed.join(mixed, "key").join(sigs, "tid").withColumn("tile", tile).withColumn("cell", F.explode(F.transform(others, cell)))
-    tiled = tiled.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.side").alias("side"), "tid", "comp", "sig")
-    rest = tiled.groupBy("key", "i", "j").applyInArrow(_unexplained, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    return first.union(verified(rest, bags))
+    cell = lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"), F.when(F.col("tile") == o, 2).when(F.col("tile") < o, 0).otherwise(1).alias("side"))
+    tiled = placed.join(mixed, "area").join(bags, "tid").withColumn("tile", F.pmod(F.xxhash64("tid"), F.col("tiles")).cast("int")).withColumn("cell", F.explode(F.transform(others, cell)))
+    tiled = tiled.select("area", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.side").alias("side"), "tid", "comp", "n", "bag")
+    return first.union(tiled.groupBy("area", "i", "j").applyInArrow(lambda group: _unexplained(group), "a long, b long"))
 
 
 def identified(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -228,7 +247,5 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     pick = pick.select("__tid", key.alias("__key"))
     names = docs.columns
     own = identified(docs, text).withColumn("__key", F.coalesce(F.col(doc_id), F.lit(-(1 << 63))))
-    from pyspark.sql import Window as W
-
-    stay = own.where("__tid IS NOT NULL").join(pick, ["__tid", "__key"], "left_semi").withColumn("__n", F.row_number().over(W.partitionBy("__tid", "__key").orderBy(F.lit(0)))).where("__n = 1")
+    stay = own.where("__tid IS NOT NULL").join(pick, ["__tid", "__key"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__tid", "__key").orderBy(F.lit(0)))).where("__n = 1")
     return stay.select(*names).unionByName(own.where("__tid IS NULL").select(*names))
