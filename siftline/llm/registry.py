@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, language_id, quality_rules, suffix_dedup
+from . import bag_minhash, language_id, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": language_id.op3_language_id,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_bag_minhash": bag_minhash.op9_bag_minhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op2_url_filter": url_filter.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
