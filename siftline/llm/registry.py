@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, decontamination, language_id, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bag_minhash, decontamination, language_id, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": language_id.op3_language_id,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_sentencepiece": sentencepiece_sampling.op6_sentencepiece,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bag_minhash": bag_minhash.op9_bag_minhash,
