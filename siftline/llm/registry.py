@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, decontamination, language_id, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity, url_filter
+from . import bag_minhash, decontamination, language_id, license_scan, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": language_id.op3_language_id,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_sentencepiece": sentencepiece_sampling.op6_sentencepiece,
     "op7_decontamination": decontamination.op7_decontamination,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_url_filter": url_filter.ORACLE_SQL,
+    "op4_license_scan": license_scan.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
