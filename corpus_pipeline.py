@@ -1,15 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
+
+1. Language ID: documents without a language (no letter, or a score below MIN_SCORE) go; lang becomes what was found.
+2. MinHash near-dedup: one document of each near-duplicate class stays.
+3. Suffix-array dedup: bytes that repeat in 200-byte strings go from the text; n_chars follows; bytes of a character that was cut apart go with it.
+4. Benchmark decontamination: documents with a benchmark passage go.
+5. SentencePiece: sampled piece ids are added.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.llm import bag_minhash, decontamination, language_id, sentencepiece_sampling, suffix_dedup
+from siftline.llm.common import table, written
+
+MIN_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identified(docs, language_id.train(docs))
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= MIN_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_dedup(docs)
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.cleaned(docs)
+    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encoded(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_array),
+    ("decontamination", decontaminate),
+    ("sentencepiece", pieces),
+]
 
-STAGES: list = []
+#: The stages learn, sample and align; SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-{name}")
     return docs

@@ -179,44 +179,42 @@ def found_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
 _SCHEMA = "doc_id {}, item_id long, start long, end long, edits long"
 
 
+def batch_leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) of every leak in a batch of texts; slices of texts are filtered at once."""
+    gap = np.array([0x110000], np.uint32)  # no character: q-grams over it match nothing
+    longest = int(index.size.max())
+
+    def flush(rows: list[tuple[int, str, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
+        starts = np.cumsum([0] + [len(codes) + 1 for _, _, codes in rows[:-1]])
+        whole = np.concatenate([x for _, _, codes in rows for x in (codes, gap)])
+        by_row: dict[int, list[tuple[int, int, int]]] = {}
+        for j, low, high in index.regions(whole):
+            r = max(0, int(np.searchsorted(starts, max(0, low), "right")) - 1)
+            while r < len(rows) and starts[r] <= high + longest:  # the texts that the region touches
+                by_row.setdefault(r, []).append((j, low - int(starts[r]), high - int(starts[r])))
+                r += 1
+        for r in sorted(by_row) if not index.short else range(len(rows)):
+            i, text, codes = rows[r]
+            yield from ((i, *leak) for leak in index.leaks(text, codes, by_row.get(r, [])))
+
+    rows, size = [], 0
+    for i, value in enumerate(column):
+        text = normal(value.as_py())
+        if text:
+            rows.append((i, text, codes_of(text)))
+            size += len(text) + 1
+            if size >= SLICE_CHARS:
+                yield from flush(rows)
+                rows, size = [], 0
+    if rows:
+        yield from flush(rows)
+
+
 def _scan(docs: DataFrame, block: list[tuple[int | None, str]], gram: int, rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(block, gram, rate)
-        gap = np.array([0x110000], np.uint32)  # no character: q-grams over it match nothing
-        longest = int(index.size.max())
         for batch in batches:
-            rows, out = [], []
-
-            def flush() -> None:
-                parts, starts, at = [], [], 0
-                for _, _, codes in rows:
-                    starts.append(at)
-                    parts += [codes, gap]
-                    at += len(codes) + 1
-                whole = np.concatenate(parts)
-                by_row: dict[int, list[tuple[int, int, int]]] = {}
-                for j, low, high in index.regions(whole):
-                    first = max(0, int(np.searchsorted(starts, max(0, low), "right")) - 1)
-                    for r in range(first, len(rows)):  # the texts that the region touches
-                        if starts[r] > high + longest:
-                            break
-                        by_row.setdefault(r, []).append((j, low - starts[r], high - starts[r]))
-                for r in sorted(by_row) if not index.short else range(len(rows)):
-                    i, text, codes = rows[r]
-                    out.extend((i, *leak) for leak in index.leaks(text, codes, by_row.get(r, [])))
-                rows.clear()
-
-            size = 0
-            for i, value in enumerate(batch.column(1)):
-                text = normal(value.as_py())
-                if text:
-                    rows.append((i, text, codes_of(text)))
-                    size += len(text) + 1
-                    if size >= SLICE_CHARS:
-                        flush()
-                        size = 0
-            if rows:
-                flush()
+            out = list(batch_leaks(index, batch.column(1)))
             if out:
                 ids = batch.column(0).take(pa.array([o[0] for o in out]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[o[1]] for o in out], pa.int64()), *(pa.array([o[c] for o in out], pa.int64()) for c in (2, 3, 4))], names=["doc_id", "item_id", "start", "end", "edits"])
@@ -224,6 +222,22 @@ def _scan(docs: DataFrame, block: list[tuple[int | None, str]], gram: int, rate:
     return docs.mapInArrow(run, _SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", gram: int = GRAM, rate: float = RATE) -> DataFrame:
+    """The rows of docs in whose text no benchmark item is found; rows are judged one by one, without a join."""
+    at = docs.columns.index(text)
+    for block in blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], block: list[tuple[int | None, str]] = block) -> Iterator[pa.RecordBatch]:
+            index = Index(block, gram, rate)
+            for batch in batches:
+                stay = np.ones(batch.num_rows, bool)
+                stay[[leak[0] for leak in batch_leaks(index, batch.column(at))]] = False
+                yield batch.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, start, end, edits of every benchmark passage found in a document."""
     return found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).distinct()

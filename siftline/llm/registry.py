@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, decontamination, language_id, license_scan, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity, url_filter
+from . import bag_minhash, decontamination, kneser_ney, language_id, license_scan, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_kneser_ney": kneser_ney.op1_kneser_ney,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": language_id.op3_language_id,
     "op4_license_scan": license_scan.op4_license_scan,

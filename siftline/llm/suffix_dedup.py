@@ -335,3 +335,18 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     done = dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
+def cleaned(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with the bytes that repeat removed from text; a null text stays null, a character cut apart goes whole."""
+    done = dedup_spans(docs.withColumn("__null", F.col(text).isNull()), text, length)
+    names = docs.columns
+    at = done.columns.index("__kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = batch.column(batch.schema.get_field_index("__null")).to_numpy(zero_copy_only=False)
+            texts = pa.array([None if n else raw.as_py().decode("utf-8", "ignore") for raw, n in zip(batch.column(at), none, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
+
+    return done.mapInArrow(run, docs.schema)
