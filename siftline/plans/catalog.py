@@ -387,9 +387,9 @@ def message_listagg(spark, d):
 _BODY = "CASE event_id % 4 WHEN 0 THEN '{\"hit\": true, \"reason\": \" ' || event_type || ' \"}' WHEN 1 THEN '{\"hit\": \"true\", \"reason\": \"x\"}' WHEN 2 THEN '{\"hit\": false, \"reason\": \" \"}' ELSE 'no json' END"
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN true END AS hit, CASE WHEN event_id % 4 = 0 THEN event_type END AS reason, CASE event_id % 4 WHEN 1 THEN 'hit is not a boolean' WHEN 2 THEN 'reason is blank' WHEN 3 THEN 'not JSON' END AS error FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'true' END AS hit, CASE WHEN event_id % 4 = 0 THEN event_type END AS reason, CASE event_id % 4 WHEN 1 THEN 'hit is not a boolean' WHEN 2 THEN 'reason is blank' WHEN 3 THEN 'not JSON' END AS error FROM events")
 def response_parse_strict(spark, d):
-    return t(spark, d, "events").select("event_id", jsonx.parsed_match(F.expr(_BODY)).alias("p")).select("event_id", "p.*")
+    return t(spark, d, "events").select("event_id", jsonx.parsed_match(F.expr(_BODY)).alias("p")).select("event_id", F.col("p.hit").cast("string").alias("hit"), "p.reason", "p.error")
 
 
 @query("SELECT event_id, event_type || (event_id % 3) AS body FROM events")
@@ -465,5 +465,5 @@ _HEAD = "CASE p_size % 5 WHEN 0 THEN 'Requirements:' WHEN 1 THEN 'We offer you '
 
 @query("SELECT p_partkey, p_size % 5 IN (0, 2) AS starts, p_size % 5 IN (1, 2) AS stops FROM part WHERE p_size % 5 < 4")
 def heading_flags(spark, d):
-    rows = t(spark, d, "part").where("p_size % 5 < 4").select("p_partkey", F.expr(_HEAD.replace("||", "||")).alias("line"))
+    rows = t(spark, d, "part").where("p_size % 5 < 4").select("p_partkey", F.expr(_HEAD).alias("line"))
     return rows.select("p_partkey", sections.is_heading(F.col("line"), sections.START_HEADINGS).alias("starts"), sections.is_heading(F.col("line"), sections.STOP_HEADINGS).alias("stops"))
