@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, components, cut, map_arrow, mix, shingles, slices, span_hashes, table, words, written
+from .common import U64, binaries, components, cut, map_arrow, mapped, mix, shingles, slices, span_hashes, table, words, written
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 SIMILARITY = 0.8
@@ -123,7 +123,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     names=["tid", "n", "keys", "bag"],
                 )
 
-    return docs.mapInArrow(run, "tid long, n long, keys array<long>, bag binary")
+    return mapped(docs, run, "tid long, n long, keys array<long>, bag binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

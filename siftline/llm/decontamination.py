@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import inverses
-from .common import U64, mix, powers, table
+from .common import U64, mapped, mix, powers, table
 
 GRAM, RATE = 10, 0.08
 BLOCK_CHARS = 4_000_000
@@ -219,7 +219,7 @@ def _scan(docs: DataFrame, block: list[tuple[int | None, str]], gram: int, rate:
                 ids = batch.column(0).take(pa.array([o[0] for o in out]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[o[1]] for o in out], pa.int64()), *(pa.array([o[c] for o in out], pa.int64()) for c in (2, 3, 4))], names=["doc_id", "item_id", "start", "end", "edits"])
 
-    return docs.mapInArrow(run, _SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
+    return mapped(docs, run, _SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", gram: int = GRAM, rate: float = RATE) -> DataFrame:
@@ -234,7 +234,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", gra
                 stay[[leak[0] for leak in batch_leaks(index, batch.column(at))]] = False
                 yield batch.filter(pa.array(stay))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, cut, table, written
+from .common import U64, cut, mapped, table, written
 
 ORDER, BITS = 5, 12
 QUANTILE = 0.995
@@ -95,7 +95,7 @@ def counted(docs: DataFrame) -> DataFrame:
         if len(grams):
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times)], names=["gram", "trusted"])
 
-    return docs.mapInArrow(run, "gram long, trusted long").groupBy("gram").agg(F.sum("trusted").alias("trusted"))
+    return mapped(docs, run, "gram long, trusted long").groupBy("gram").agg(F.sum("trusted").alias("trusted"))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -154,7 +154,7 @@ def _scored_by_broadcast(docs: DataFrame, p: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(total)], names=[*batch.schema.names[1:], "n", "log_p"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "log_p double"])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _scored_by_join(docs: DataFrame, p: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _scored_by_join(docs: DataFrame, p: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(g[first]), pa.array(np.diff(np.append(first, len(g))))], names=[*names, "gram", "times"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["gram long", "times long"])
-    sums = docs.mapInArrow(run, schema).join(p, "gram").groupBy("row_text").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log("p")).alias("log_p"))
+    sums = mapped(docs, run, schema).join(p, "gram").groupBy("row_text").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log("p")).alias("log_p"))
     return sums
 
 

@@ -26,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 TRAIN_DOCS, WORDS, GRAMS = 2000, 20_000, 8_000
+#: Words that a task counts before it hands them on.
+FLUSH = 20_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: A text counts as so many words at most when scores are turned into a probability.
 EVIDENCE = 50
-MEMO = 200_000
+MEMO = 100_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,13 +81,13 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen.update((lang, w) for w in _WORD.findall(text.as_py().lower()))
-                if len(seen) > MEMO:
+                if len(seen) > FLUSH:
                     yield flush(seen)
                     seen.clear()
         if seen:
             yield flush(seen)
 
-    counted = sample.mapInArrow(count, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+    counted = mapped(sample, count, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram"))
     kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("lang", "n", "gram", "times").collect()
     return fitted([tuple(r) for r in kept], shares)
@@ -173,7 +175,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [predict(scores, x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def held_out(key: str = "doc_id", by: int = 4, part: int = 2) -> Column:

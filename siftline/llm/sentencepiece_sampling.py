@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import inverses
-from .common import U64, mix, powers, table
+from .common import U64, mapped, mix, powers, table
 
 SPACE = "▁"
 ALPHA = 1.0
 #: A byte piece weighs as much as the last rank, so bytes are used only where they must be or for single characters.
-SLICE_CHARS = 3 << 19
+SLICE_CHARS = 3 << 18
 MODEL = os.environ.get("SIFTLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -99,8 +99,8 @@ def chunks(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def distinct(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(representative chunk of each distinct chunk, distinct number of each chunk)."""
+def distinct(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the distinct chunks, a representative of each, distinct number of each chunk)."""
     size = np.diff(np.append(first, len(codes)))
     inner = np.arange(len(codes)) - np.repeat(first, size)
     h = mix(np.add.reduceat(_letters(codes) * powers(int(size.max()) + 1)[inner], first) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
@@ -108,7 +108,7 @@ def distinct(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.append(True, h[order[1:]] != h[order[:-1]])
     number = np.empty(len(h), np.int64)
     number[order] = np.cumsum(new) - 1
-    return order[new], number
+    return h[order[new]], order[new], number
 
 
 class Lattice:
@@ -166,66 +166,100 @@ class Lattice:
             sums_ = np.add.reduceat(part, head)
             probability[edges] = part / np.repeat(sums_, many)
             reach[to[head]] = top + np.log(sums_)
-        running = np.cumsum(probability)
         head = np.flatnonzero(np.append(True, self.end[1:] != self.end[:-1]))
-        before = np.repeat(np.append(0.0, running[head[1:] - 1]), np.diff(np.append(head, len(self.end))))
-        self.mark = self.end + np.minimum(running - before, 1.0) - 2.0**-20  # ascending over all edges; draws stay below the last
-        last = np.append(head[1:], len(self.end)) - 1
-        self.mark[last] = self.end[last] + 1.0 - 2.0**-21
-        self.first, self.size = first, size
-
-    def sample(self, number: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(occurrence, edge) of the sampled paths, each path from its last edge to its first."""
+        many = np.diff(np.append(head, len(self.end)))
+        # Cumulative probabilities of each place on its own, on a grid of 2 ** -24: the same wherever the chunk lies in a slice.
+        self.mark = np.empty(len(self.end))
+        for lo in range(0, len(head), 1 << 16):
+            at, n_in = head[lo : lo + (1 << 16)], many[lo : lo + (1 << 16)]
+            first_edge, row = at[0], np.repeat(np.arange(len(at)), n_in)
+            rank = np.arange(len(row)) + first_edge - np.repeat(at, n_in)
+            grid = np.zeros((len(at), int(n_in.max())))
+            grid[row, rank] = probability[first_edge : first_edge + len(row)]
+            self.mark[first_edge : first_edge + len(row)] = np.minimum(np.floor(np.cumsum(grid, 1)[row, rank] * 2**24), 2**24 - 1)
+        self.mark[head + many - 1] = 2**24 - 1
+        self.mark = self.end + (self.mark + 0.5) * 2.0**-24
+        self.codes, self.first, self.size = codes, first, size
+
+    def sample(self, number: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(occurrence, place in the chunk, piece or -1, character) of the sampled edges."""
         at, low = self.first[number] + self.size[number], self.first[number]
         who = np.arange(len(number))
-        out_who, out_edge, step = [], [], 0
+        out_who, out_edge, step = [who[:0]], [who[:0]], 0
         while len(who):
             step += 1
-            u = (mix(seed[who] + U64(step * 0xD1B54A32D192ED03 % 2**64)) >> U64(40)).astype(np.float64) * 2.0**-24 * (1 - 2.0**-18)
+            u = (mix(seed[who] + U64(step * 0xD1B54A32D192ED03 % 2**64)) >> U64(40)).astype(np.float64) * 2.0**-24
             edge = np.searchsorted(self.mark, at[who] + u)
             out_who.append(who)
             out_edge.append(edge)
             at[who] = self.start[edge]
             who = who[at[who] > low[who]]
-        return np.concatenate(out_who), np.concatenate(out_edge)
+        who, edge = np.concatenate(out_who), np.concatenate(out_edge)
+        start = self.start[edge]
+        return who, start - low[who], self.piece[edge], self.codes[start]
+
+
+class Encoder:
+    """Samples piece ids; keeps the lattice of the first slice's chunks, so that later slices build only new ones."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.known: tuple[np.ndarray, Lattice] | None = None
+
+    def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
+        """Sampled piece ids of each text; keys: a 64-bit seed for each."""
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        size = np.array([len(c) for c in codes], np.int64)
+        if not size.sum():
+            return [np.zeros(0, np.int32) for _ in texts]
+        whole = np.concatenate(codes)
+        begin = np.cumsum(size) - size
+        first = chunks(whole, begin[size > 0])
+        doc = np.flatnonzero(size > 0)[np.searchsorted(begin[size > 0], first, "right") - 1]
+        seed = mix(keys[doc] ^ mix((first - begin[doc]).astype(U64)))
+        hashes, pick, number = distinct(whole, first)
+        found = np.full(len(hashes), -1)
+        if self.known is not None:
+            at = np.minimum(np.searchsorted(self.known[0], hashes), len(self.known[0]) - 1)
+            found = np.where(self.known[0][at] == hashes, at, -1)
+        new = np.flatnonzero(found < 0)
+        parts = []
+        if len(new):
+            length = np.diff(np.append(first, len(whole)))[pick[new]]
+            own_first = np.cumsum(length) - length
+            own = whole[np.repeat(first[pick[new]] - own_first, length) + np.arange(int(length.sum()))]
+            lattice = Lattice(self.pieces, own, own_first)
+            place = np.full(len(hashes), -1)
+            place[new] = np.arange(len(new))
+            parts.append((np.flatnonzero(place[number] >= 0), place, lattice))
+            if self.known is None:
+                self.known = hashes, lattice
+        if len(new) < len(hashes):
+            parts.append((np.flatnonzero(found[number] >= 0), found, self.known[1]))
+        out = []
+        for rows, place, lattice in parts:
+            who, start, piece, code = lattice.sample(place[number[rows]], seed[rows])
+            out.append((rows[who], start, piece, code))
+        who, start, ids, code = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(who * (int(start.max()) + 1) + start)
+        ids, code, owner = ids[order], code[order], doc[who[order]]
+        fallback = np.flatnonzero(ids < 0)
+        if len(fallback):
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in code[fallback].tolist()]
+            many = np.ones(len(ids), np.int64)
+            many[fallback] = [len(r) for r in raw]
+            bytes_ = self.pieces.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+            at = np.repeat(np.cumsum(many)[fallback] - many[fallback], many[fallback])
+            at = at + np.arange(len(at)) - np.repeat(np.cumsum(many[fallback]) - many[fallback], many[fallback])
+            ids, owner = np.repeat(ids, many), np.repeat(owner, many)
+            ids[at] = bytes_
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        ids = ids.astype(np.int32)
+        return [ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
 
 def encode(pieces: Pieces, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-    """Sampled piece ids of each text; keys: a 64-bit seed for each."""
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    size = np.array([len(c) for c in codes], np.int64)
-    if not size.sum():
-        return [np.zeros(0, np.int32) for _ in texts]
-    whole = np.concatenate(codes)
-    begin = np.cumsum(size) - size
-    first = chunks(whole, begin[size > 0])
-    pick, number = distinct(whole, first)
-    length = np.diff(np.append(first, len(whole)))
-    n_own = length[pick]
-    own_first = np.cumsum(n_own) - n_own
-    own = whole[np.repeat(first[pick] - own_first, n_own) + np.arange(int(n_own.sum()))]
-    lattice = Lattice(pieces, own, own_first)
-    doc = np.searchsorted(begin[size > 0], first, "right") - 1
-    doc = np.flatnonzero(size > 0)[doc]
-    seed = mix(keys[doc] ^ mix((first - begin[doc]).astype(U64)))
-    who, edge = lattice.sample(number, seed)
-    order = np.argsort(who * (len(own) + 1) + lattice.start[edge])
-    who, edge = who[order], edge[order]
-    ids = lattice.piece[edge]
-    fallback = np.flatnonzero(ids < 0)
-    owner = doc[who]
-    if len(fallback):
-        raw = [chr(c).encode("utf-8", "surrogatepass") for c in own[lattice.start[edge[fallback]]].tolist()]
-        many = np.ones(len(ids), np.int64)
-        many[fallback] = [len(r) for r in raw]
-        bytes_ = pieces.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        at = np.repeat(np.cumsum(many)[fallback] - many[fallback], many[fallback])
-        at = at + np.arange(len(at)) - np.repeat(np.cumsum(many[fallback]) - many[fallback], many[fallback])
-        ids, owner = np.repeat(ids, many), np.repeat(owner, many)
-        ids[at] = bytes_
-    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    ids = ids.astype(np.int32)
-    return [ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+    return Encoder(pieces).encode(texts, keys)
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, alpha: float = ALPHA, digest: bool = False) -> DataFrame:
@@ -238,6 +272,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pieces)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             seeds = batch.column(len(names)).to_numpy().view(U64)
@@ -248,7 +283,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
                     size += len(texts[hi] or "")
                     hi += 1
                 part = texts[lo:hi]
-                ids = encode(pieces, [t or "" for t in part], seeds[lo:hi])
+                ids = encoder.encode([t or "" for t in part], seeds[lo:hi])
                 own = [c.slice(lo, hi - lo) for c in batch.columns[: len(names)]]
                 null = np.array([t is None for t in part])
                 if digest:
@@ -259,7 +294,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
                 yield pa.RecordBatch.from_arrays(own + more, names=names + [x.split()[0] for x in extra.split(", ")])
                 lo = hi
 
-    return docs.withColumn("__seed", seed).mapInArrow(run, schema)
+    return mapped(docs.withColumn("__seed", seed), run, schema)
 
 
 def decode_all(pieces: Pieces, ids: list[np.ndarray]) -> list[bytes]:
@@ -294,7 +329,7 @@ def decoded(docs: DataFrame, ids: str = "piece_ids", path: str = MODEL) -> DataF
             texts = [x.decode() for x in decode_all(pieces, values)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=np.array([not v.is_valid for v in batch.column(at)]))], names=[*names, "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

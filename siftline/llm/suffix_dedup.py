@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import U64, binaries, cut, mix, slices, table
+from .common import U64, binaries, cut, mapped, mix, slices, table
 
 LENGTH = 200
 GRAM = 40
@@ -213,7 +213,7 @@ def across(parts: DataFrame, length: int) -> DataFrame:
             hit[start[marks[where] == own]] = True
         return pa.table({"key": rows.column("key"), "span": rows.column("span"), "pairs": pa.chunked_array([binaries(_intervals(hit, at, length))])})
 
-    ranges = parts.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(sorted_ranges, "key long, salt int, part int, marks binary")
+    ranges = mapped(parts.repartition("key", "salt").sortWithinPartitions("key", "salt"), sorted_ranges, "key long, salt int, part int, marks binary")
     merged = ranges.groupBy("key", "part").applyInArrow(merge, "key long, salt int, marks binary")
     return parts.groupBy("key", "salt").cogroup(merged.groupBy("key", "salt")).applyInArrow(mark, _SHARD_OUT)
 
@@ -234,7 +234,7 @@ def anchored(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
                 span = mix(anchors.range_hash(prefix, start, start + count + length - 1) + owner.astype(U64))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(span.view(np.int64)), pa.array(tids[lo:hi][doc]), pa.array((start - at[doc]) * 1024 + count)], names=["key", "span", "tid", "at"])
 
-    return texts.mapInArrow(run, "key long, span long, tid long, at long")
+    return mapped(texts, run, "key long, span long, tid long, at long")
 
 
 def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -264,13 +264,13 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                 if wants:
                     yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in wants], t) for c, t in (("key", pa.int64()), ("span", pa.int64()), ("weight", pa.int64()), ("salts", pa.int32()), ("salt", pa.int32()))] + [pa.array(cuts, pa.binary())], names=["key", "span", "weight", "salts", "salt", "raw"])
 
-    parts = cut(held.mapInArrow(fetch, "key long, span long, weight long, salts int, salt int, raw binary").dropDuplicates(["key", "span"]))
+    parts = cut(mapped(held, fetch, "key long, span long, weight long, salts int, salt int, raw binary").dropDuplicates(["key", "span"]))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_keys(batches, CHUNK_BYTES):
             yield _shard(rows, length)
 
-    local = parts.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(shard, _SHARD_OUT)
+    local = mapped(parts.repartition("key", "salt").sortWithinPartitions("key", "salt"), shard, _SHARD_OUT)
     split = across(parts.where("salts > 1"), length)
     pairs = local.union(split).where(F.octet_length("pairs") > 0)
     first, many = F.floor(F.col("at") / 1024), F.col("at") % 1024
@@ -289,7 +289,7 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                 out.append(merged_spans(np.concatenate(found)).astype(np.int32).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), binaries(out)], names=["tid", "cuts"])
 
-    settled = cuts.mapInArrow(settle, "tid long, cuts binary")
+    settled = mapped(cuts, settle, "tid long, cuts binary")
     return settled.join(copies.withColumn("whole", F.lit(True)), "tid", "full_outer").select("tid", F.coalesce("whole", F.lit(False)).alias("whole"), "cuts")
 
 
@@ -328,7 +328,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
                 parts.append(len(pairs))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(kept, pa.binary())] + [pa.array(x, pa.int64()) for x in (size, gone, parts)], names=[*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
 
-    return joined.mapInArrow(apply, schema)
+    return mapped(joined, apply, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,4 +349,4 @@ def cleaned(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
             texts = pa.array([None if n else raw.as_py().decode("utf-8", "ignore") for raw, n in zip(batch.column(at), none, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
 
-    return done.mapInArrow(run, docs.schema)
+    return mapped(done, run, docs.schema)
