@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 BUCKETS, DIMENSIONS, LENGTHS = 1 << 16, 8, (3, 4, 5, 6)
 PASSAGE = 16
 SOFT_STEPS, HARD_STEPS, RATE, DECAY, EPSILON = 20, 40, 0.3, 1e-4, 3e-4
-MEMO = 300_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]]+")
 
 
@@ -100,14 +101,18 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             at += len(words)
     token, start, owner = np.concatenate(token), np.concatenate(start), np.concatenate(owner)
     size = np.diff(np.append(start, len(token)))
-    passage = np.repeat(np.arange(len(start)), size)
+    passage = np.repeat(np.arange(len(start), dtype=np.int32), size)
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     docs = owner[first]
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(owner))))
-    lists = [features(w) for w in vocab]
-    n_features = np.array([len(x) for x in lists])
-    flat = np.concatenate([np.array(x, np.int32) for x in lists])
-    word_of = np.repeat(np.arange(len(lists)), n_features)
+    flat_, counts = array("i"), array("i")
+    for w in vocab:
+        own = features(w)
+        flat_.extend(own)
+        counts.append(len(own))
+    flat, n_features, n_words = np.array(flat_, np.int32), np.array(counts, np.int64), len(vocab)
+    del flat_, vocab
+    word_of = np.repeat(np.arange(n_words, dtype=np.int32), n_features)
     word_start = np.cumsum(n_features) - n_features
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (2, DIMENSIONS)), np.zeros(2)]
@@ -126,7 +131,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         share /= np.add.reduceat(share, first)[of]
         pooled = np.add.reduceat(share * z, first) + bias[1] - bias[0]
         g = (1 / (1 + np.exp(-np.clip(pooled, -60, 60))) - target) * weight
-        g_word = np.bincount(token, weights=(g[of] * share / size)[passage], minlength=len(lists)) / n_features
+        g_word = np.bincount(token, weights=(g[of] * share / size)[passage], minlength=n_words) / n_features
         g_gram = np.bincount(flat, weights=g_word[word_of], minlength=BUCKETS)
         g_side = g_gram @ table_
         grads = [np.outer(g_gram, side) + DECAY * table_ * (g_gram != 0)[:, None] / BUCKETS, np.stack([-g_side, g_side]) + DECAY * soft, np.array([-g.sum(), g.sum()])]
@@ -160,7 +165,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(known, model.bias, x.as_py()) for x in batch.column(at)], pa.float64())], names=[*names, "toxic_score"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def held_out() -> Column:
