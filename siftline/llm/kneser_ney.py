@@ -38,7 +38,7 @@ SLACK = 1.5
 BROADCAST_GRAMS = 4_000_000
 BROADCAST_IDS = 2_000_000
 SLICE_CHARS = 1 << 19
-TASK_GRAMS = 1 << 21
+TASK_GRAMS = 1 << 19
 
 
 def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -31,6 +31,8 @@ from .common import mapped, table
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 BUCKETS, DIMENSIONS, LENGTHS = 1 << 16, 8, (3, 4, 5, 6)
 PASSAGE = 16
+#: Words whose n-grams are summed at once in training.
+BLOCK_WORDS = 1 << 16
 SOFT_STEPS, HARD_STEPS, RATE, DECAY, EPSILON = 20, 40, 0.3, 1e-4, 3e-4
 MEMO = 150_000
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]]+")
@@ -99,6 +101,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             start.append(own + at)
             owner.append(np.full(len(own), i, np.int32))
             at += len(words)
+    if not token:  # labels, but no words
+        return Model(np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean()))))
     token, start, owner = np.concatenate(token), np.concatenate(start), np.concatenate(owner)
     size = np.diff(np.append(start, len(token)))
     passage = np.repeat(np.arange(len(start), dtype=np.int32), size)
@@ -112,8 +116,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         counts.append(len(own))
     flat, n_features, n_words = np.array(flat_, np.int32), np.array(counts, np.int64), len(vocab)
     del flat_, vocab
-    word_of = np.repeat(np.arange(n_words, dtype=np.int32), n_features)
     word_start = np.cumsum(n_features) - n_features
+    blocks = [(lo, min(lo + BLOCK_WORDS, n_words), word_start[lo], word_start[lo] + int(n_features[lo : lo + BLOCK_WORDS].sum())) for lo in range(0, n_words, BLOCK_WORDS)]
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (2, DIMENSIONS)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -123,7 +127,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         table_, soft, bias = params
         side = soft[1] - soft[0]
         gram = table_ @ side
-        word = np.add.reduceat(gram[flat], word_start) / n_features
+        word = np.concatenate([np.add.reduceat(gram[flat[a:b]], word_start[lo:hi] - a) for lo, hi, a, b in blocks]) / n_features
         z = np.add.reduceat(word[token], start) / size
         top = np.maximum.reduceat(z, first)
         sharp = 1 + 7 * step / SOFT_STEPS
@@ -132,7 +136,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         pooled = np.add.reduceat(share * z, first) + bias[1] - bias[0]
         g = (1 / (1 + np.exp(-np.clip(pooled, -60, 60))) - target) * weight
         g_word = np.bincount(token, weights=(g[of] * share / size)[passage], minlength=n_words) / n_features
-        g_gram = np.bincount(flat, weights=g_word[word_of], minlength=BUCKETS)
+        g_gram = np.zeros(BUCKETS)
+        for lo, hi, a, b in blocks:
+            g_gram += np.bincount(flat[a:b], weights=np.repeat(g_word[lo:hi], n_features[lo:hi]), minlength=BUCKETS)
         g_side = g_gram @ table_
         grads = [np.outer(g_gram, side) + DECAY * table_ * (g_gram != 0)[:, None] / BUCKETS, np.stack([-g_side, g_side]) + DECAY * soft, np.array([-g.sum(), g.sum()])]
         for p, gr, (m, v) in zip(params, grads, moments, strict=True):
