@@ -244,7 +244,7 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """
     copies = texts.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid")
     runs = anchored(texts, length, gram)
-    shared = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = cut(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))  # a join with a plain exchange on both sides can be split
     runs = cut(runs.join(shared, "key"))
     kinds = cut(runs.groupBy("key", "span").agg(F.count("*").alias("weight"), F.min_by("tid", F.col("tid")).alias("tid"), F.min_by("at", F.col("tid")).alias("at")))
     mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.ceil(F.col("kinds") / SHARD_RUNS).cast("int").alias("salts"))
@@ -306,7 +306,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram:
     """docs with __kept (binary: the bytes left), __n_bytes, __n_removed, __n_spans; null texts count as empty."""
     own = docs.withColumn("__tid", F.when(F.octet_length(text) >= length, F.xxhash64(text)))
     texts = own.where("__tid IS NOT NULL").select(F.col("__tid").alias("tid"), F.col(text).alias("text"))
-    found = spans(texts, length, gram).select(F.col("tid").alias("__tid"), F.col("whole").alias("__whole"), F.col("cuts").alias("__cuts"))
+    found = cut(spans(texts, length, gram)).select(F.col("tid").alias("__tid"), F.col("whole").alias("__whole"), F.col("cuts").alias("__cuts"))
     joined = own.join(found, "__tid", "left").withColumn("__raw", F.coalesce(F.col(text), F.lit("")).cast("binary")).select(*docs.columns, "__whole", "__cuts", "__raw").drop(text)
     names = joined.columns[:-3]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-3]] + ["__kept binary", "__n_bytes long", "__n_removed long", "__n_spans long"])

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -85,7 +85,7 @@ def filtered(pages: DataFrame, rules: DataFrame, url: str = "url", default: str
     host, path = host_and_path(F.col(url))
     own = pages.withColumn("__host", host).withColumn("__path", path)
     own = own.drop("host", "path", "rule", "verdict").withColumnsRenamed({"__host": "host", "__path": "path"})
-    found = judged(own, rules)
+    found = cut(judged(own, rules))  # so that the join below can be split where one url is on very many pages
     return own.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
