@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table
 
-TRAIN_DOCS, WORDS, GRAMS = 2000, 20_000, 8_000
+TRAIN_DOCS, WORDS, GRAMS = 1000, 20_000, 8_000
 #: Words that a task counts before it hands them on.
 FLUSH = 20_000
 ORDERS = (4, 3, 2, 1)
@@ -58,6 +58,7 @@ def grams(word: str, n: int) -> list[str]:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
     """Fits a model to the rows whose lang is not null."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    # Up to 1000 rows a language, Spark limits each task to those before it sorts a language in one place.
     first = rows.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= TRAIN_DOCS)
     limits = {r["lang"]: r["top"] for r in first.groupBy("lang").agg(F.max("h").alias("top")).collect()}
     if not limits:

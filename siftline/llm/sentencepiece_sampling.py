@@ -30,7 +30,7 @@ from .common import U64, mapped, mix, powers, table
 
 SPACE = "▁"
 ALPHA = 1.0
-#: A byte piece weighs as much as the last rank, so bytes are used only where they must be or for single characters.
+#: Characters that are encoded at once.
 SLICE_CHARS = 3 << 18
 MODEL = os.environ.get("SIFTLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
