@@ -64,14 +64,22 @@ class Model:
 
 
 class WordScores(dict):
+    """Scores of words, made when they first come up; two generations of at most MEMO words, so that frequent ones stay."""
+
     def __init__(self, model: Model):
         super().__init__()
-        self.grams = model.grams
+        self.grams = model.grams.tolist()
+        self.old: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
-        if len(self) > MEMO:
+        if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        self[word] = score = float(self.grams[features(word)].mean())
+        score = self.old.get(word)
+        if score is None:
+            own = features(word)
+            score = sum(map(self.grams.__getitem__, own)) / len(own)
+        self[word] = score
         return score
 
 
