@@ -71,7 +71,9 @@ def signatures(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int,
             j += len(ahead)
             u = mix(s[:, None] + ahead)
             gap = np.log(((u >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            times = time[:, None] - np.cumsum(gap, 1) / r[:, None]
+            step = -gap / r[:, None]
+            step[:, 0] += time
+            times = np.cumsum(step, 1)  # sums run on from the start, so how many points are made at once changes no bit
             v = mix(u ^ _SLOT)
             fits = (times <= limit[:, None]) & ((v >> U64(40)).astype(np.float64) * 2.0**-24 * r[:, None] < cells[:, None])
             slot = (v & U64(0xFFFFFF)).astype(np.int64) % slots + (o * slots)[:, None]
