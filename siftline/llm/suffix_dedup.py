@@ -90,7 +90,8 @@ def kasai(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix in order with the one before it, within their spans; 0 for the first.
 
     Kasai's recurrence by position: if p - 1 and p follow phi(p - 1) and phi(p - 1) + 1, the prefix is one byte
-    shorter. Only the heads of such runs are compared byte by byte.
+    shorter, as long as the one before has a byte. Only the heads of such runs are compared byte by byte; a run
+    ends after a place without a common byte, and the next place is a head again.
     """
     lcp = np.zeros(len(order), np.int64)
     if len(order) < 2:
@@ -100,18 +101,24 @@ def kasai(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
     p, q = p[by], q[by]
     head = np.append(True, (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1) | (end[p[1:]] != end[p[:-1]]) | (end[q[1:]] != end[q[:-1]]))
     at = np.flatnonzero(head)
-    value = np.zeros(len(at), np.int64)
-    for lo in range(0, len(at), 2048):
-        a, b = p[at[lo : lo + 2048]], q[at[lo : lo + 2048]]
-        most = np.minimum(end[a] - a, end[b] - b)
-        width = int(most.max())
-        j = np.arange(width)
-        last = len(data) - 1
-        same = (data[np.minimum(a[:, None] + j, last)] == data[np.minimum(b[:, None] + j, last)]) & (j < most[:, None])
-        value[lo : lo + 2048] = np.where(same.all(1), width, same.argmin(1))
-    run = np.cumsum(head) - 1
+    stop = np.append(at[1:], len(p))
     out = np.zeros(len(p), np.int64)
-    out[:] = np.maximum(value[run] - (p - p[at[run]]), 0)
+    while len(at):
+        value = np.zeros(len(at), np.int64)
+        for lo in range(0, len(at), 2048):
+            a, b = p[at[lo : lo + 2048]], q[at[lo : lo + 2048]]
+            most = np.minimum(end[a] - a, end[b] - b)
+            width = int(most.max())
+            j = np.arange(width)
+            last = len(data) - 1
+            same = (data[np.minimum(a[:, None] + j, last)] == data[np.minimum(b[:, None] + j, last)]) & (j < most[:, None])
+            value[lo : lo + 2048] = np.where(same.all(1), width, same.argmin(1))
+        size = np.minimum(value + 1, stop - at)
+        run = np.repeat(np.arange(len(at)), size)
+        away = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        out[at[run] + away] = value[run] - away
+        more = at + size < stop
+        at, stop = (at + size)[more], stop[more]
     lcp[1:][by] = out
     return lcp
 

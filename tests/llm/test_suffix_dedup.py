@@ -69,3 +69,15 @@ def test_query_hash(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 100), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in S.op5_suffix_dedup(spark, str(tmp_path)).collect()}
     assert rows[1].kept_sha256 == hashlib.sha256(b"x" * 100).hexdigest() and rows[None].n_bytes == 0
+
+
+def test_kasai_goes_on_after_one_differing_byte():
+    rnd = random.Random(9)
+    body = bytes(rnd.choice(b"bcdefghijk") for _ in range(320))
+    lead = bytes(rnd.choice(b"bcdefghijk") for _ in range(40))
+    runs = [lead + b"r" + body, lead + b"s" + body, lead + b"r" + body[:150] + b"a" * 120, lead + b"s" + body[:150] + b"z" * 120]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+    got = S.repeated_windows(np.frombuffer(b"".join(runs), np.uint8), at, np.ones(4, int), 200)
+    windows = [r[i : i + 200] for r in runs for i in range(len(r) - 199)]
+    places = [a + i for a, r in zip(at, runs, strict=False) for i in range(len(r) - 199)]
+    assert [bool(got[p]) for p in places] == [windows.count(w) > 1 for w in windows] and got.any()
