@@ -2,7 +2,9 @@
 
 The lines of a file that speak of licences are its header. Equal headers are scored once: terms are weighted by
 (times) x (ln((1 + N) / (1 + df)) + 1), with document frequencies over all files that have a header, and joined with the templates' terms;
-a header has the template of highest cosine if that is THRESHOLD or more. A file named LICENSE (or so) gives its licence to its directory. A
+a header has the template of highest cosine if that is THRESHOLD or more. A header that reaches it as a whole with none is
+scored again in pieces, so that neither words beside a statement nor the corpus's size hide it: each line and sentence
+of it by THRESHOLD, and each span of as many words as a template (in one line, with half of its words at least) with that template by SPAN_THRESHOLD. A file named LICENSE (or so) gives its licence to its directory. A
 file without one of its own inherits from the nearest directory above it that has one: every distinct directory is joined
 with its ancestors.
 
@@ -20,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-THRESHOLD = 0.5
+THRESHOLD, SPAN_THRESHOLD = 0.5, 0.75
 ABOUT = "licen[cs]e|copyright|spdx|permission is hereby|without warranty|redistribution and use|all rights reserved"
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 #: name, text of the statement that stands in headers.
@@ -61,21 +63,44 @@ def terms(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.regexp_extract_all(F.lower("header"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy(*keep, "term").agg(F.count("*").alias("tf"))
 
 
+def pieces(headers: DataFrame, known: DataFrame) -> DataFrame:
+    """(header, piece, only): lines and sentences (only is '') and spans of a template's length (only is its name)."""
+    lines = headers.select("header", F.explode(F.split("header", "\n")).alias("line"))
+    sentences = lines.select("header", F.explode(F.concat(F.array("line"), F.split("line", r"(?<=[.;!?])\s+"))).alias("piece"), F.lit("").alias("only"))
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    wanted = F.broadcast(known.select("name", tokens("header").alias("own")))
+    pairs = lines.select("header", tokens("line").alias("said")).join(wanted, F.size("said") >= F.size("own"))
+    enough = lambda span: F.size(F.array_intersect(span, F.col("own"))) * 2 >= F.size(F.array_distinct("own"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("said") - F.size("own") + 1), lambda i: F.slice("said", i, F.size("own")))
+    cut_out = pairs.where(enough(F.col("said"))).select("header", F.explode(F.filter(spans, enough)).alias("span"), "name")
+    return sentences.unionByName(cut_out.select("header", F.array_join("span", " ").alias("piece"), F.col("name").alias("only"))).distinct()
+
+
 def matched(headers: DataFrame, known: DataFrame) -> DataFrame:
     """(header, name, cosine): the best template of each distinct header, if good enough. headers: a row for each file."""
-    distinct = headers.where("header IS NOT NULL").groupBy("header").agg(F.count("*").alias("files"))
+    distinct = written(headers.where("header IS NOT NULL").groupBy("header").agg(F.count("*").alias("files")), "license-headers")
     count = distinct.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("total"))
     own = terms(distinct, "header", "files")
     idf = own.groupBy("term").agg(F.sum("files").alias("df"))
     weight = lambda df: (F.col("tf") * (F.log((F.lit(1.0) + F.col("total")) / (F.lit(1.0) + F.coalesce(df, F.lit(0)))) + 1))
-    left = own.join(idf, "term").join(F.broadcast(count)).select("header", "term", weight(F.col("df")).alias("w"))
     right = terms(known, "name").join(idf, "term", "left").join(F.broadcast(count)).select("name", "term", weight(F.col("df")).alias("v"))
-    left_norm = left.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
     right_norm = right.groupBy("name").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("vn"))
-    dot = left.join(right, "term").groupBy("header", "name").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dot.join(left_norm, "header").join(right_norm, "name").withColumn("cosine", F.round(F.col("dot") / (F.col("wn") * F.col("vn")), 6))
-    best = scored.where(F.col("cosine") >= THRESHOLD).groupBy("header").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("best"))
-    return best.select("header", F.col("best.name").alias("name"), (-F.col("best.c")).alias("cosine"))
+
+    def scored(found: DataFrame, *by: str) -> DataFrame:
+        left = found.join(idf, "term").join(F.broadcast(count)).select(*by, "term", weight(F.col("df")).alias("w"))
+        left_norm = left.groupBy(*by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
+        dot = left.join(right, "term").groupBy(*by, "name").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+        return dot.join(left_norm, list(by)).join(right_norm, "name").withColumn("cosine", F.round(F.col("dot") / (F.col("wn") * F.col("vn")), 6))
+
+    def top(scores: DataFrame) -> DataFrame:
+        best = scores.groupBy("header").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("best"))
+        return best.select("header", F.col("best.name").alias("name"), (-F.col("best.c")).alias("cosine"))
+
+    whole = written(top(scored(own, "header").where(F.col("cosine") >= THRESHOLD)), "license-whole")
+    parts = pieces(distinct.join(whole, "header", "left_anti"), known)
+    near = scored(terms(parts.select("piece", "only").distinct().withColumn("header", F.col("piece")), "piece", "only"), "piece", "only")
+    good = near.where(F.when(F.col("only") == "", F.col("cosine") >= THRESHOLD).otherwise((F.col("only") == F.col("name")) & (F.col("cosine") >= SPAN_THRESHOLD)))
+    return whole.unionByName(top(parts.join(good, ["piece", "only"])))
 
 
 def directory(path: str) -> Column:

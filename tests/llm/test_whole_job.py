@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from siftline.llm import bag_minhash
+from siftline.llm import bag_minhash, license_scan
 
 
 def test_signature_does_not_depend_on_the_slice():
@@ -12,3 +12,18 @@ def test_signature_does_not_depend_on_the_slice():
     for i in range(0, 1500, 50):
         alone = bag_minhash.signatures(h[i], np.zeros(10, int), np.ones(10, int), 1)
         assert (alone[0] == full[i]).all(), i
+
+
+def test_licence_beside_rare_words(spark):
+    want = {
+        "a.py": ("Copyright c 2024 Jane Doe\nReleased under the MIT License.", "mit"),
+        "b.py": ("Frobnicator zyzzyva quux licence notes of Wolpertinger\nLicensed under the Apache License, Version 2.0", "apache-2.0"),
+        "c.py": ("The frobnicator by Wolpertinger and Zyzzyva, released under the MIT License since grault garply waldo fred plugh", "mit"),
+        "d.py": ("Wolpertinger has a driving licence of quux garply and waldo", None),
+    }
+    plain = [f"Released under the MIT License{' ' * (i % 3)}" for i in range(300)] + ["All rights reserved."] * 80
+    rows = [(k, v[0]) for k, v in want.items()] + [(f"p/{i}.py", t) for i, t in enumerate(plain)]
+    for n in (4, 40, len(rows)):  # what is found does not depend on the corpus's size
+        files = spark.createDataFrame(rows[:n], "path string, text string")
+        got = {r.path: r.license for r in license_scan.scanned(files, license_scan.templates(spark)).collect()}
+        assert {k: got[k] for k in want} == {k: v[1] for k, v in want.items()}, n
