@@ -5,18 +5,19 @@ occurrences, lower ones of distinct left neighbours; each order has three discou
 are computed by joins sharded by n-gram: for every distinct 5-gram of the corpus, order by order, its count, its
 context's totals and the probability of its suffix meet. A document's perplexity is over its
 characters and its end; it is kept if that is at most the QUANTILE of trusted documents of its language, with some
-slack for short texts.
+slack for short texts. A 5-gram is two integers, the low 12 bits (gram) and the high 9 bits (high) of its five characters, so
+that no characters are merged.
 
 Why characters: joining every word 3-gram of every document with its count would shuffle several times the input; distinct character
 5-grams are a small fraction of the text, so that the count joins stay small. What they gather still grows with the corpus.
 
 Scale: one pass makes counts (pre-aggregated for each task), one scores. Where the distinct 5-grams are at most
-BROADCAST_GRAMS their log probabilities are broadcast (12 bytes each); beyond that, documents' 5-gram counts are joined with them by
+BROADCAST_GRAMS their log probabilities are broadcast (12 bytes each, under a 64-bit key that is made free of collisions); beyond that, documents' 5-gram counts are joined with them by
 shuffle. The set of trusted ids is broadcast below BROADCAST_IDS and joined by shuffle beyond. Quantiles come from
 a histogram of log perplexity in steps of 0.001.
 
 Defined cases: null texts and empty ones have null perplexity and are not kept; a null lang is a language of its own; a language
-without trusted documents takes the quantile of all its documents; without trusted text every 5-gram is equally likely; characters from U+0FFF on count as one; repeated rows
+without trusted documents takes the quantile of all its documents; without trusted text every 5-gram is equally likely; repeated rows
 are scored alike; ties at the threshold are kept; very long texts are whole; labels without a document are ignored; other columns are not read.
 """
 
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mapped, table, written
+from .common import U64, cut, mapped, mix, table, written
 
-ORDER, BITS = 5, 12
+ORDER, BITS, HIGH_BITS = 5, 12, 9
 QUANTILE = 0.995
 #: Short texts vary more: a text of n characters may exceed its language's limit by SLACK / sqrt(n + 1) in log perplexity.
 SLACK = 1.5
@@ -41,20 +42,43 @@ SLICE_CHARS = 1 << 19
 TASK_GRAMS = 1 << 19
 
 
-def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(5-grams as integers, text of each): one for every character and one for the end; the oldest character is highest."""
+def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low bits of 5-grams, text of each, high bits): one for every character and one for the end; the oldest character is highest.
+
+    0 is before the text and 1 its end; the characters U+0000 and U+0001 stand behind the last code point.
+    """
     codes, size = [], []
     for t in texts:
-        codes += [np.zeros(ORDER - 1, np.uint32), np.clip(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), 2, (1 << BITS) - 1), np.ones(1, np.uint32)]
-        size.append(len(codes[-2]) + 1)
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes += [np.zeros(ORDER - 1, np.uint32), np.where(c < 2, c + np.uint32(0x110000), c), np.ones(1, np.uint32)]
+        size.append(len(c) + 1)
     c = np.concatenate(codes).astype(np.int64)
-    g = np.zeros(len(c) - ORDER + 1, np.int64)
-    for j in range(ORDER):
-        g = (g << BITS) | c[j : len(g) + j]
     size = np.array(size)
     own = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(own)) + own * (ORDER - 1)
-    return g[at], own
+
+    def joined(part: np.ndarray, bits: int) -> np.ndarray:
+        g = np.zeros(len(c) - ORDER + 1, np.int64)
+        for j in range(ORDER):
+            g = (g << bits) | part[j : len(g) + j]
+        return g[at]
+
+    high = c >> BITS
+    return joined(c & ((1 << BITS) - 1), BITS), own, joined(high, HIGH_BITS) if high.any() else np.zeros(len(at), np.int64)
+
+
+def _groups(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, which places in it start a new 5-gram)."""
+    by = np.lexsort((g, e)) if e.any() else np.argsort(g)
+    return by, np.append(True, (g[by[1:]] != g[by[:-1]]) | (e[by[1:]] != e[by[:-1]]))
+
+
+def _keyed(g: np.ndarray, e: np.ndarray, seed: int) -> np.ndarray:
+    """One integer for each 5-gram: itself where it has no high bits, else a negative hash."""
+    if not e.any():
+        return g
+    h = mix(g.view(U64) ^ mix(e.view(U64) + U64(seed))) | U64(1 << 63)
+    return np.where(e == 0, g, h.view(np.int64))
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
@@ -73,29 +97,31 @@ def _slices(column: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(gram, trusted): times that each distinct 5-gram of docs (text, trusted) occurs in trusted text."""
+    """(gram, high, trusted): times that each distinct 5-gram of docs (text, trusted) occurs in trusted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(high), pa.array(times)], names=["gram", "high", "trusted"])
+
+        def summed(g: np.ndarray, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            by, new = _groups(g, e)
+            first = np.flatnonzero(new)
+            return g[by][first], e[by][first], np.add.reduceat(n[by], first)
+
+        grams = high = times = np.zeros(0, np.int64)
         for batch in batches:
-            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for rows, texts in _slices(batch.column(0)):
-                g, own = packed(texts)
-                key = (g << 1) | trusted[rows][own]
-                key.sort()
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                many = np.diff(np.append(first, len(key)))
-                new, good = key[first] >> 1, key[first] & 1
-                every, each = np.concatenate([grams, new]), np.concatenate([times, many * good])
-                grams, at = np.unique(every, return_inverse=True)
-                times = np.bincount(at, weights=each, minlength=len(grams)).astype(np.int64)
+                g, own, e = packed(texts)
+                new = summed(g, e, trusted[rows][own])
+                grams, high, times = summed(*(np.concatenate(x) for x in zip((grams, high, times), new, strict=True)))
                 if len(grams) > TASK_GRAMS:
-                    yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times)], names=["gram", "trusted"])
-                    grams, times = grams[:0], times[:0]
+                    yield out()
+                    grams = high = times = np.zeros(0, np.int64)
         if len(grams):
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times)], names=["gram", "trusted"])
+            yield out()
 
-    return mapped(docs, run, "gram long, trusted long").groupBy("gram").agg(F.sum("trusted").alias("trusted"))
+    return mapped(docs, run, "gram long, high long, trusted long").groupBy("gram", "high").agg(F.sum("trusted").alias("trusted"))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -108,34 +134,39 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
-    """(gram, p) for every gram of grams (gram, trusted)."""
-    suffix = lambda k: F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1))
-    known = {ORDER: grams.where("trusted > 0").select(F.col("gram").alias("g"), F.col("trusted").alias("c"))}
-    asked = {ORDER: grams.select(F.col("gram").alias("g"))}
+    """(gram, high, p) for every gram of grams (gram, high, trusted)."""
+    low = lambda name, bits, k: F.col(name).bitwiseAND(F.lit((1 << bits * k) - 1))
+    suffix = lambda k, g="g", e="e": (low("g", BITS, k).alias(g), low("e", HIGH_BITS, k).alias(e))
+    whole = (F.col("gram").alias("g"), F.col("high").alias("e"))
+    known = {ORDER: grams.where("trusted > 0").select(*whole, F.col("trusted").alias("c"))}
+    asked = {ORDER: grams.select(*whole)}
     for k in range(ORDER - 1, 0, -1):
-        known[k] = cut(known[k + 1].select(suffix(k).alias("g")).groupBy("g").agg(F.count("*").alias("c")))
-        asked[k] = cut(asked[k + 1].select(suffix(k).alias("g")).distinct())
+        known[k] = cut(known[k + 1].select(*suffix(k)).groupBy("g", "e").agg(F.count("*").alias("c")))
+        asked[k] = cut(asked[k + 1].select(*suffix(k)).distinct())
     size = asked[1].count() + 1
     p = None
     for k in range(1, ORDER + 1):
         row = known[k].agg(*(F.coalesce(F.sum((F.col("c") == j).cast("long")), F.lit(0)).alias(f"n{j}") for j in range(1, 5))).first()
         d1, d2, d3 = discounts([row[f"n{j}"] for j in range(1, 5)])
         cost = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        context = lambda g: F.shiftright(g, BITS) if k > 1 else F.lit(0).cast("long")
-        totals = known[k].groupBy(context(F.col("g")).alias("h")).agg(F.sum("c").alias("total"), F.sum(cost).alias("freed"))
-        own = asked[k].withColumn("h", context(F.col("g"))).join(known[k], "g", "left").join(totals, "h", "left")
+        context = {"h": F.shiftright("g", BITS), "f": F.shiftright("e", HIGH_BITS)} if k > 1 else {"h": F.lit(0).cast("long"), "f": F.lit(0).cast("long")}
+        totals = known[k].groupBy(*(c.alias(n) for n, c in context.items())).agg(F.sum("c").alias("total"), F.sum(cost).alias("freed"))
+        own = asked[k].withColumns(context).join(known[k], ["g", "e"], "left").join(totals, ["h", "f"], "left")
         if p is None:
             own = own.withColumn("lower", F.lit(1.0 / size))
         else:
-            own = own.withColumn("s", suffix(k - 1)).join(p.select(F.col("g").alias("s"), F.col("p").alias("lower")), "s")
+            own = own.select("*", *suffix(k - 1, "s", "t")).join(p.select(F.col("g").alias("s"), F.col("e").alias("t"), F.col("p").alias("lower")), ["s", "t"])
         value = F.when(F.col("total").isNull(), F.col("lower")).otherwise((F.coalesce(F.col("c") - cost, F.lit(0.0)) + F.col("freed") * F.col("lower")) / F.col("total"))
-        p = cut(own.select("g", value.alias("p")))
-    return p.select(F.col("g").alias("gram"), "p")
+        p = cut(own.select("g", "e", value.alias("p")))
+    return p.select(F.col("g").alias("gram"), F.col("e").alias("high"), "p")
 
 
 def _scored_by_broadcast(docs: DataFrame, p: DataFrame) -> DataFrame:
     found = p.toArrow()
-    grams, logs = found.column("gram").to_numpy(), np.log(found.column("p").to_numpy())
+    pairs, logs = [found.column(c).to_numpy() for c in ("gram", "high")], np.log(found.column("p").to_numpy())
+    seed = 0
+    while len(np.unique(grams := _keyed(*pairs, seed))) < len(grams):  # every 5-gram of docs is in p, so keys stay exact
+        seed += 1
     order = np.argsort(grams)
     shared = docs.sparkSession.sparkContext.broadcast((grams[order], logs[order].astype(np.float32)))
 
@@ -144,11 +175,11 @@ def _scored_by_broadcast(docs: DataFrame, p: DataFrame) -> DataFrame:
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for rows, texts in _slices(batch.column(0)):
-                g, own = packed(texts)
-                by = np.argsort(g)
-                new = np.append(True, g[by[1:]] != g[by[:-1]])
+                g, own, e = packed(texts)
+                by, new = _groups(g, e)
+                first = by[new]
                 log = np.empty(len(g))
-                log[by] = value[np.searchsorted(known, g[by][new])][np.cumsum(new) - 1]
+                log[by] = value[np.searchsorted(known, _keyed(g[first], e[first], seed))][np.cumsum(new) - 1]
                 n[rows] = np.bincount(own)
                 total[rows] = np.bincount(own, weights=log)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(total)], names=[*batch.schema.names[1:], "n", "log_p"])
@@ -163,15 +194,15 @@ def _scored_by_join(docs: DataFrame, p: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in _slices(batch.column(0)):
-                g, own = packed(texts)
-                by = np.lexsort((g, own))
-                g, own = g[by], own[by]
-                first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (own[1:] != own[:-1])))
+                g, own, e = packed(texts)
+                by = np.lexsort((g, e, own))
+                g, own, e = g[by], own[by], e[by]
+                first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (e[1:] != e[:-1]) | (own[1:] != own[:-1])))
                 at = pa.array(np.array(rows)[own[first]])
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(g[first]), pa.array(np.diff(np.append(first, len(g))))], names=[*names, "gram", "times"])
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(g[first]), pa.array(e[first]), pa.array(np.diff(np.append(first, len(g))))], names=[*names, "gram", "high", "times"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["gram long", "times long"])
-    sums = mapped(docs, run, schema).join(p, "gram").groupBy("row_text").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log("p")).alias("log_p"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["gram long", "high long", "times long"])
+    sums = mapped(docs, run, schema).join(p, ["gram", "high"]).groupBy("row_text").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log("p")).alias("log_p"))
     return sums
 
 

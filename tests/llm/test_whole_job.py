@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+import pytest
 
-from siftline.llm import bag_minhash, license_scan
+from siftline.llm import bag_minhash, kneser_ney, license_scan
 
 
 def test_signature_does_not_depend_on_the_slice():
@@ -27,3 +28,16 @@ def test_licence_beside_rare_words(spark):
         files = spark.createDataFrame(rows[:n], "path string, text string")
         got = {r.path: r.license for r in license_scan.scanned(files, license_scan.templates(spark)).collect()}
         assert {k: got[k] for k in want} == {k: v[1] for k, v in want.items()}, n
+
+
+@pytest.mark.parametrize("broadcast_grams", [10**6, 0])
+def test_perplexity_tells_letters_of_every_script_apart(spark, broadcast_grams):
+    good = ["今天天气很好我们去公园散步", "今天天气很好他们去公园吃饭"]
+    rows = [(i, "zh", good[i % 2]) for i in range(20)] + [(100, "zh", "饭天园吃很去散公气好们他步"), (101, "zh", "\U0001f600€“龘靐齉爩鱻麤" * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    ids = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    got = {r.doc_id: r for r in kneser_ney.classified(docs, ids, broadcast_grams=broadcast_grams).collect()}
+    assert got[0].kept and got[0].n_chars == 13 and max(got[0].perplexity, got[1].perplexity) * 3 < min(got[100].perplexity, got[101].perplexity)
+    assert not got[100].kept and not got[101].kept
+    low, _, high = kneser_ney.packed(["".join(map(chr, range(0x2000, 0x9000)))])
+    assert len({*zip(low.tolist(), high.tolist(), strict=True)}) == 0x7001
