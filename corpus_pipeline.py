@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
 
-1. Language ID: documents without a language (no letter, or a score below MIN_SCORE) go; lang becomes what was found.
+1. Language ID: documents without a language (no letter, a score below MIN_SCORE, or evidence in less than MIN_KNOWN of the words, whatever the languages' shares) go; lang becomes what was found.
 2. MinHash near-dedup: one document of each near-duplicate class stays.
 3. Suffix-array dedup: bytes that repeat in 200-byte strings go from the text; n_chars follows; bytes of a character that was cut apart go with it.
 4. Benchmark decontamination: documents with a benchmark passage go.
@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from siftline.llm import bag_minhash, decontamination, language_id, sentencepiece_sampling, suffix_dedup
 from siftline.llm.common import table, written
 
-MIN_SCORE = 0.5
+MIN_SCORE = MIN_KNOWN = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = language_id.identified(docs, language_id.train(docs))
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= MIN_SCORE))
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= MIN_SCORE) & (F.col("lang_known") >= MIN_KNOWN))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

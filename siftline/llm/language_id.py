@@ -9,7 +9,8 @@ n-grams of each length and language, so the model's size is bounded by parameter
 languages; counting is distributed. Prediction is one pass without a shuffle.
 
 Defined cases: null texts and texts without a letter are 'und' with score 0; a text of letters that the model
-knows nothing about gets the most frequent language, with its share as score; a null doc_id is neither
+knows nothing about gets the most frequent language, with its share as score, and lang_known (the share of words that training saw,
+or an n-gram of two or more characters of) tells it apart; a null doc_id is neither
 held out nor learned from; empty texts, repeated rows and ties (the first language in code-point order) have one result a
 row; without any labelled document everything is 'und'; texts are read whole; other columns are not read.
 """
@@ -120,22 +121,24 @@ class Scores(dict):
         super().__init__(words)
         self.model, self.known = model, len(words)
         self.matrix = np.zeros((self.known + MEMO, len(model.langs)))
+        self.seen = np.arange(len(self.matrix)) < self.known  # words with evidence
         if self.known:
             self.matrix[: self.known] = model.logs[0]
 
     def __missing__(self, word: str) -> int:
         at = len(self)
-        self.matrix[at] = self.backoff(word)
+        self.matrix[at], self.seen[at] = self.backoff(word)
         self[word] = at
         return at
 
-    def backoff(self, word: str) -> np.ndarray:
+    def backoff(self, word: str) -> tuple[np.ndarray, bool]:
+        """Scores of an unseen word; is an n-gram of two or more characters known."""
         for n in ORDERS:
             rows = self.model.rows.get(n, {})
             found = [rows[g] for g in grams(word, n) if g in rows]
             if found:
-                return self.model.logs[n][found].mean(0)
-        return np.zeros(len(self.model.langs))
+                return self.model.logs[n][found].mean(0), n > 1
+        return np.zeros(len(self.model.langs)), False
 
     def trim(self, room: int) -> None:
         """Forgets unseen words unless room more fit."""
@@ -144,37 +147,44 @@ class Scores(dict):
             self.update(self.model.rows.get(0, {}))
             if room > MEMO:
                 self.matrix = np.concatenate([self.matrix[: self.known], np.zeros((room, self.matrix.shape[1]))])
+                self.seen = np.arange(len(self.matrix)) < self.known
 
 
-def predict(scores: Scores, text: str | None) -> tuple[str, float]:
+def judged(scores: Scores, text: str | None) -> tuple[str, float, float]:
+    """Language, score, and the share of words with evidence."""
     model = scores.model
     words = _WORD.findall(text.lower()) if text else []
     if not words or not model.langs:
-        return UNKNOWN, 0.0
-    total, step = np.zeros(len(model.langs)), MEMO // 4
+        return UNKNOWN, 0.0, 0.0
+    total, known, step = np.zeros(len(model.langs)), 0, MEMO // 4
     for i in range(0, len(words), step):
         part = words[i : i + step]
         scores.trim(len(part))
         rows = np.fromiter(map(scores.__getitem__, part), np.int64, len(part))
         total += scores.matrix[rows].sum(0)
+        known += int(scores.seen[rows].sum())
     z = total * (min(len(words), EVIDENCE) / len(words)) + model.prior
     z -= z.max()
     p = np.exp(z)
     best = int(p.argmax())
-    return model.langs[best], float(p[best] / p.sum())
+    return model.langs[best], float(p[best] / p.sum()), known / len(words)
+
+
+def predict(scores: Scores, text: str | None) -> tuple[str, float]:
+    return judged(scores, text)[:2]
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score."""
+    """docs with lang_pred, lang_score and lang_known."""
     names = docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "lang_score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "lang_score double", "lang_known double"])
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
         for batch in batches:
-            found = [predict(scores, x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "lang_score"])
+            found = [judged(scores, x.as_py()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), *(pa.array([f[i] for f in found], pa.float64()) for i in (1, 2))], names=[*names, "lang_pred", "lang_score", "lang_known"])
 
     return mapped(docs, run, schema)
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from siftline.llm import bag_minhash, kneser_ney, license_scan
 
 
@@ -41,3 +42,12 @@ def test_perplexity_tells_letters_of_every_script_apart(spark, broadcast_grams):
     assert not got[100].kept and not got[101].kept
     low, _, high = kneser_ney.packed(["".join(map(chr, range(0x2000, 0x9000)))])
     assert len({*zip(low.tolist(), high.tolist(), strict=True)}) == 0x7001
+
+
+def test_language_stage_rejects_an_unlearned_script(spark):
+    en, de = "the cat and the dog of the house were in the garden", "der hund und die katze sind in dem garten"
+    rows = [(i, en, "en", "a", 1) for i in range(8)] + [(10 + i, de, "de", "a", 1) for i in range(2)]
+    rows += [(20, "今天天气很好 我们去公园散步", None, "a", 1), (21, "сегодня хорошая погода мы идем гулять", None, "a", 1), (22, "the dogs of the gardens", None, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {i: "en" for i in [*range(8), 22]} | {10: "de", 11: "de"}
