@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .textx import col, strip
 
+# The schemas that answers are held to.
 MATCH_SCHEMA = {"type": "object", "properties": {"hit": {"type": "boolean"}, "reason": {"type": "string"}}, "required": ["hit", "reason"], "additionalProperties": False}
 TRIAGE_SCHEMA = {
     "type": "object",
@@ -91,24 +92,36 @@ def parse_triage(text: str, valid: set[str]) -> dict[str, str]:
         raise ValueError("triage response needs a candidates array")
     out: dict[str, str] = {}
     for c in found["candidates"]:
-        if not isinstance(c, dict) or c.get("candidate_id") not in valid or not isinstance(c.get("reason"), str) or not c["reason"].strip():
+        own, reason = (c.get("candidate_id"), c.get("reason")) if isinstance(c, dict) else (None, None)
+        if not isinstance(own, str) or own not in valid or not isinstance(reason, str) or not reason.strip():
             raise ValueError(f"bad triage candidate: {c!r}")
-        out.setdefault(c["candidate_id"], c["reason"].strip())
+        out.setdefault(own, reason.strip())
     return out
 
 
 def parse_hit(text: str) -> bool:
-    hit = json.loads(text).get("hit")
+    found = json.loads(text)
+    hit = found.get("hit") if isinstance(found, dict) else None
     if not isinstance(hit, bool):
         raise ValueError("hit must be a boolean")
     return hit
 
 
+def _items(value) -> list[dict]:
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+
+def text_of_response(body: dict) -> str:
+    """The same text as response_text, of one response on a worker."""
+    if isinstance(body.get("output_text"), str):
+        return body["output_text"]
+    return "".join(part["text"] for item in _items(body.get("output")) for part in _items(item.get("content")) if isinstance(part.get("text"), str))
+
+
 def response_shape(body: dict) -> str:
     """A short description of a response without its texts, for error messages."""
-    output = body.get("output")
-    return json.dumps({"status": body.get("status"), "incomplete_details": body.get("incomplete_details"), "output_types": [i.get("type") for i in output if isinstance(i, dict)] if isinstance(output, list) else None})
+    return json.dumps({c: body.get(c) for c in ("id", "status", "model", "incomplete_details", "error")} | {"output_types": [i.get("type") for i in _items(body.get("output"))]}, ensure_ascii=False)
 
 
-def response_usage(body: dict) -> dict:
-    return body["usage"] if isinstance(body.get("usage"), dict) else {}
+def response_usage(body: dict) -> dict | None:
+    return body["usage"] if isinstance(body.get("usage"), dict) else None

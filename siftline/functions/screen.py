@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textx import col, duckdb_keyword, keyword_flag, keyword_matches, keyword_regex
+from .textx import col, folded, keyword_flag, keyword_matches, non_blank
 
 # The keyword lists and categories that verdicts and reasons depend on.
 POSITIVE = [
@@ -39,36 +39,37 @@ def label_text(labels: str | Column) -> Column:
     return F.coalesce(F.array_join(col(labels), " "), F.lit(""))
 
 
-def verdict(fields: dict[str, Column], positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, categories: dict[str, str] = CATEGORIES) -> dict[str, Column]:
-    """prefilter_pass, prefilter_reason, prefilter_positive_matches and prefilter_negative_matches of fields in their order.
+def with_verdict(ads: DataFrame, fields: dict[str, Column], positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, categories: dict[str, str] = CATEGORIES) -> DataFrame:
+    """ads with prefilter_pass, prefilter_reason, prefilter_positive_matches and prefilter_negative_matches of fields in their order.
 
-    A positive keyword anywhere wins over negatives; the reason names the first field and the first keyword of the list in it.
+    A positive keyword anywhere wins over negatives; the reason names the first field and the first keyword of the list in it. Each field is folded once and each
+    keyword is looked for once: the steps are projections of their own, which the optimiser does not merge as their values are used several times.
     """
-    found = {name: keyword_matches(text, positive) for name, text in fields.items()}
-    good = F.array_distinct(F.flatten(F.array(*found.values())))
-    bad = F.array_distinct(F.flatten(F.array(*(keyword_matches(text, negative) for text in fields.values()))))
-    first = F.coalesce(*(F.when(F.size(m) > 0, F.concat(F.lit(f"Matched {name} keyword: "), F.try_element_at(m, F.lit(1)))) for name, m in found.items()))
-    first_bad = F.try_element_at(bad, F.lit(1))
+    names = list(fields)
+    rows = ads.withColumns({f"__text_{n}": c for n, c in fields.items()})
+    rows = rows.withColumns({f"__fold_{n}": folded(f"__text_{n}") for n in names})
+    rows = rows.withColumns({f"__{kind}_{n}": keyword_matches(f"__text_{n}", words, f"__fold_{n}") for n in names for kind, words in (("good", positive), ("bad", negative))})
+    rows = rows.withColumns({f"__{kind}": F.array_distinct(F.flatten(F.array(*(F.col(f"__{kind}_{n}") for n in names)))) for kind in ("good", "bad")})
+    first = F.coalesce(*(F.when(F.size(f"__good_{n}") > 0, F.concat(F.lit(f"Matched {n} keyword: "), F.try_element_at(f"__good_{n}", F.lit(1)))) for n in names))
+    first_bad = F.try_element_at("__bad", F.lit(1))
     kinds = F.create_map(*(F.lit(x) for pair in categories.items() for x in pair)) if categories else F.create_map()
     rejected = F.concat(F.lit("Rejected obvious "), F.coalesce(F.try_element_at(kinds, first_bad), F.lit("non-match")), F.lit(" role: "), first_bad)
-    return {
-        "prefilter_pass": (F.size(good) > 0) | (F.size(bad) == 0),
+    done = {
+        "prefilter_pass": (F.size("__good") > 0) | (F.size("__bad") == 0),
         "prefilter_reason": F.coalesce(first, rejected, F.lit(PERMISSIVE)),
-        "prefilter_positive_matches": good,
-        "prefilter_negative_matches": bad,
+        "prefilter_positive_matches": F.col("__good"),
+        "prefilter_negative_matches": F.col("__bad"),
     }
+    kept = [c for c in ads.columns if c not in done]
+    return rows.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(n) for n, c in done.items()))
 
 
 def screened(ads: DataFrame) -> DataFrame:
     """ads with the verdict columns; labels count as text."""
     fields = {name: F.coalesce(F.col(name), F.lit("")) for name in FIELDS}
-    return ads.withColumns(verdict(fields | {"source_searches": label_text("source_searches")}))
+    return with_verdict(ads, fields | {"source_searches": label_text("source_searches")})
 
 
 def rejection_reason(reason: str | Column) -> Column:
-    from .textx import non_blank
-
     return F.coalesce(non_blank(reason), F.lit(DEFAULT_REJECTION))
 
-
-__all__ = ["CATEGORIES", "NEGATIVE", "PERMISSIVE", "POSITIVE", "duckdb_keyword", "keyword_regex", "label_text", "passes", "rejection_reason", "screened", "verdict", "word_hit"]

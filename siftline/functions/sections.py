@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textx import SPACE, col
+from .textx import SPACE, col, strip
 
 # Headings that open a requirements section and headings that close one (matched in any case).
 START_HEADINGS = [
@@ -36,11 +36,20 @@ STOP_HEADINGS = [
 #: A heading has at most so many characters and words; looser limits are for any heading-like line.
 MAX_CHARS, MAX_WORDS = 120, 12
 LIKE_CHARS, LIKE_WORDS = 90, 10
-HEADING_TAGS = ("b", "h1", "h2", "h3", "h4", "h5", "h6", "strong")
+# Tags that make a block a heading, and the characters that do not count at the ends of a heading.
+HEADING_TAGS = ("b", "h1", "h2", "h3", "h4", "h5", "strong")
+END_MARKS = " :.\\-–—"
 
 
 def bare(c: Column) -> Column:
-    return F.regexp_replace(c, "^[ :.\\-–—]+|[ :.\\-–—]+$", "")
+    """The text without white space, and then without marks, at its ends."""
+    return F.regexp_replace(strip(c), f"^[{END_MARKS}]+|[{END_MARKS}]+$", "")
+
+
+def _guarded(text: Column, chars: int, words: int) -> Column:
+    """Is bare text short and not a sentence?"""
+    count = F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
+    return (text != "") & (F.char_length(text) <= chars) & (count <= words) & ~text.rlike("[.!]$")
 
 
 def matches_any(c: Column, patterns: list[str]) -> Column:
@@ -48,23 +57,16 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
     return bare(c).rlike(f"(?iu){joined}")
 
 
-def _words(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, f"{SPACE}+"), lambda w: w != ""))
-
-
 def is_heading(c: Column, patterns: list[str]) -> Column:
-    text = F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
-    short = (F.char_length(text) <= MAX_CHARS) & (_words(text) <= MAX_WORDS)
-    return F.coalesce(short & ~text.rlike("[.!]$") & matches_any(c, patterns), F.lit(False))
+    return F.coalesce(_guarded(bare(c), MAX_CHARS, MAX_WORDS) & matches_any(c, patterns), F.lit(False))
 
 
 def is_heading_like(c: Column, tags: Column) -> Column:
-    """Short, and a heading tag, a colon at the end, upper case, or a capital on every word."""
-    text = F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
-    short = (text != "") & (F.char_length(text) <= LIKE_CHARS) & (_words(text) <= LIKE_WORDS)
+    """Short, no sentence, and a heading tag, a colon at the end, upper case, or a capital on every word."""
+    text = bare(c)
     upper = (F.upper(text) == text) & (F.lower(text) != text)
     title = text.rlike(r"^[^\p{L}]*\p{Lu}[^\p{Lu}]*(?:(?<!\p{L})\p{Lu}[^\p{Lu}]*)*$") & ~text.rlike(r"(?<!\p{L})\p{Ll}")
-    return F.coalesce(short & (F.arrays_overlap(tags, F.array(*map(F.lit, HEADING_TAGS))) | text.endswith(":") | upper | title), F.lit(False))
+    return F.coalesce(_guarded(text, LIKE_CHARS, LIKE_WORDS) & (F.arrays_overlap(tags, F.array(*map(F.lit, HEADING_TAGS))) | strip(c).endswith(":") | upper | title), F.lit(False))
 
 
 def section(texts: str | Column, starts: list[str] = START_HEADINGS, stops: list[str] = STOP_HEADINGS) -> Column:

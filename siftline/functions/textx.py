@@ -37,14 +37,23 @@ def keyword_regex(keyword: str) -> str:
     return rf"(?iu)(?<!{WORD})" + rf"{SPACE}+".join(parts) + rf"(?!{WORD})"
 
 
-def keyword_flag(c: str | Column, keyword: str) -> Column:
-    return F.coalesce(col(c).rlike(keyword_regex(keyword)), F.lit(False))
+def folded(c: str | Column) -> Column:
+    """The text with case folded as far as the keyword expressions do, to look for literals in."""
+    return F.lower(F.upper(F.translate(col(c), "\u0130", "i")))
 
 
-def keyword_matches(c: str | Column, keywords: list[str]) -> Column:
+def keyword_flag(c: str | Column, keyword: str, fold: str | Column | None = None) -> Column:
+    """Does the keyword occur? With the folded text at hand, the expression runs only where the keyword's letters are in it."""
+    hit = col(c).rlike(keyword_regex(keyword))
+    if fold is not None:
+        hit = F.when(col(fold).contains(keyword.split()[0].upper().lower()), hit)
+    return F.coalesce(hit, F.lit(False))
+
+
+def keyword_matches(c: str | Column, keywords: list[str], fold: str | Column | None = None) -> Column:
     """The keywords that occur, each once, in list order."""
     unique = list(dict.fromkeys(keywords))
-    flags = F.array(*(F.when(keyword_flag(c, k), F.lit(k)) for k in unique))
+    flags = F.array(*(F.when(keyword_flag(c, k, fold), F.lit(k)) for k in unique))
     return F.filter(flags, lambda x: x.isNotNull())
 
 

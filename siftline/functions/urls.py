@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .textx import col
 
 GEO_ONLY = "geo-only"
-#: Parameters that a captured search page may keep; start is set by the pager.
+# Parameters that a captured search page may keep; start is set by the pager.
 PAGE_PARAMS = ("keywords", "location", "geoId", "distance", "f_TPR", "f_E", "f_JT", "f_WT", "f_AL", "f_EA", "f_JIYN", "f_VJ", "f_C", "f_PP", "sortBy")
 
 

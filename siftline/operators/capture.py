@@ -27,7 +27,7 @@ def cards_of(pages: DataFrame) -> DataFrame:
     """One row for each card of the pages, with its label and ord by search, page and place."""
     rows = pages.where(~F.col("status").eqNullSafe(F.lit(429))).select("search_ord", "label", "page_no", F.posexplode("cards").alias("pos", "card"))
     ord_ = F.col("search_ord").cast("long") * (1 << 40) + F.col("page_no").cast("long") * (1 << 20) + F.col("pos")
-    return rows.select(ord_.alias("ord"), "label", "card.*")
+    return rows.select(ord_.alias("ord"), "search_ord", "label", "card.*")
 
 
 def page_audits(pages: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def merged_labels(label: str | Column = "label", ord_: str = "ord") -> Column:
 
 def first_wins(rows: DataFrame, key: str = "job_id", ord_: str = "ord", label: str | None = "label") -> DataFrame:
     """One row for each key, the earliest; labels of all of them, merged in order, as source_searches."""
-    rest = [c for c in rows.columns if c not in (key, label)]
+    rest = [c for c in rows.columns if c not in (key, label, "search_ord")]
     out = [F.min_by(F.struct(*rest), F.col(ord_)).alias("__first")] + ([merged_labels(label, ord_).alias("source_searches")] if label else [])
     return rows.groupBy(key).agg(*out).select(key, "__first.*", *(["source_searches"] if label else []))
 
@@ -66,22 +66,32 @@ def memory_hits(occurrences: DataFrame, seen: DataFrame, label: str = "label") -
     return occurrences.join(known, F.col("job_id") == F.col("__seen"), "left").groupBy(label).agg(F.count_if(F.col("__seen").isNotNull()).alias("already_in_memory"))
 
 
+def one_search(pages: DataFrame, seen: DataFrame, today: Column, limit: int, page_size: int = 10, max_pages: int = 2) -> DataFrame:
+    """Unseen cards of pages that are all of one search; no page is read for a limit below 1."""
+    if limit <= 0:
+        pages = pages.limit(0)
+    return unseen(first_wins(cards_of(take_while_full(parsed_pages(pages), page_size=page_size, max_pages=max_pages))), seen, today, limit)
+
+
 def capture(pages: DataFrame, seen: DataFrame, today: Column, limit: int | None, page_size: int = 10, max_pages: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(unseen cards, audits) of captured pages over several searches."""
+    """(unseen cards, audits) of captured pages over several searches; searches that share a label have audits of their own."""
+    if limit is not None and limit <= 0:
+        pages = pages.limit(0)
     read = take_while_full(parsed_pages(pages), page_size=page_size, max_pages=max_pages)
     cards = cards_of(read)
-    hits = memory_hits(cards, seen).withColumnRenamed("label", "search")
-    audits = page_audits(read).join(hits, "search", "left").select("search_ord", "search", "pages_requested", "results_seen", F.coalesce("already_in_memory", F.lit(0)).alias("already_in_memory"), F.lit(0).cast("long").alias("passed_prefilter"), "throttled")
+    hits = memory_hits(cards, seen, "search_ord")
+    audits = page_audits(read).join(hits, "search_ord", "left").select(
+        F.col("search_ord").cast("long").alias("ord"), "search", "pages_requested", "results_seen", F.coalesce("already_in_memory", F.lit(0)).alias("already_in_memory"), F.lit(0).cast("long").alias("passed_prefilter"), "throttled",
+    )
     return unseen(first_wins(cards), seen, today, limit), audits
 
 
 def with_details(cards: DataFrame, details: DataFrame) -> DataFrame:
-    """Inner join with detail pages; throttled ones drop their card. Values on the page win if their element is there, even if empty."""
-    page = details.where(~F.col("status").eqNullSafe(F.lit(429))).select("job_id", html.detail_udf("html").alias("d"), html.fragment_udf("html").alias("fragment"))
-    rows = cards.join(page, "job_id").withColumns({"description": F.coalesce(html.text_udf("fragment"), F.lit("")), "__segments": html.segments_udf("fragment")})
-    section = sections.section(F.transform(F.coalesce("__segments", F.array().cast(f"array<{html.SEGMENT.simpleString()}>")), lambda s: s["text"]))
-    rows = rows.withColumns({c: F.coalesce(F.col(f"d.{c}"), F.col(c)) for c in ("title", "company", "posted")}).withColumn("__section", section)
-    return rows.withColumns({"requirements_text": F.coalesce(non_blank("__section"), F.col("description")), "requirements_extraction_method": F.when(F.col("__section") != "", "pattern").otherwise("full_description")}).drop("d", "fragment", "__segments", "__section")
+    """Inner join with detail pages, each parsed once; throttled ones drop their card. Values on the page win if their element is there, even if empty."""
+    page = details.where(~F.col("status").eqNullSafe(F.lit(429))).select("job_id", html.details_udf("html").alias("__d"))
+    rows = cards.join(page, "job_id").withColumns({c: F.coalesce(F.col(f"__d.{c}"), F.col(c)) for c in ("title", "company", "posted")})
+    rows = rows.withColumns({"description": F.col("__d.description"), "__section": sections.section(F.transform(F.col("__d.segments"), lambda s: s["text"]))})
+    return rows.withColumns({"requirements_text": F.coalesce(non_blank("__section"), F.col("description")), "requirements_extraction_method": F.when(F.col("__section") != "", "pattern").otherwise("full_description")}).drop("__d", "__section")
 
 
 def with_sentinel(ads: DataFrame, sentinel: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,18 +19,26 @@ from ..functions.textx import non_blank
 
 MOCK_REASONS = ("Description contains the word.", "Description does not contain the word.")
 TRIAGE_REJECTION = "Rejected by Eval 2: LLM triage."
-MIN_TOKENS, BASE_TOKENS, TOKENS_EACH, MAX_TOKENS, MATCH_TOKENS, RETRY_TOKENS = 256, 160, 120, 2048, 512, 4096
+MIN_TOKENS, BASE_TOKENS, TOKENS_EACH, MAX_TOKENS = 256, 160, 120, 2048
+#: Ads of one triage call; a batch of more would not fit a model's context.
+TRIAGE_BATCH = 500
 
 
-class Provider(Protocol):
-    """Answers with the JSON texts that the parsers expect."""
+class Reply(NamedTuple):
+    """A JSON text that the parsers expect, the tokens used (JSON) and the model that answered."""
+
+    text: str
+    usage: str | None = None
+    model: str | None = None
+
 
+class Provider(Protocol):
     name: str
     model: str
 
-    def triage(self, ads: list[dict], profile: str) -> str: ...
+    def triage(self, ads: list[dict], profile: str) -> Reply: ...
 
-    def confirm(self, ad: dict, profile: str) -> str: ...
+    def confirm(self, ad: dict, profile: str) -> Reply: ...
 
 
 def token_budget(n: Column) -> Column:
@@ -74,61 +82,64 @@ def stage_label(stage: str | Column, hit: str | Column) -> Column:
     return F.when(stage == "prefilter", "Eval 1: Keywords").when(stage == "triage", "Eval 2: LLM triage").when((stage == "confirmation") | hit.eqNullSafe(F.lit(True)), "Eval 3: LLM confirmation").otherwise("unknown")
 
 
-def two_stage(ads: DataFrame, provider: Provider, profile: str, keep: Callable[[DataFrame, str], DataFrame], batch_size: int | None = None) -> DataFrame:
-    """Decisions for every ad: screen, one triage call (or one for each batch_size ads), one confirmation for each candidate.
+def two_stage(ads: DataFrame, provider: Provider, profile: str, keep: Callable[[DataFrame, str], DataFrame], batch_size: int | None = TRIAGE_BATCH) -> DataFrame:
+    """Decisions for every ad: screen, a triage call for each batch of ads that pass (by ordinal; None: one call for all), one confirmation for each candidate.
 
-    keep writes a stage's answers and reads them back. With nothing that passes, the provider is not asked. One bad triage candidate fails its batch.
+    ads: ord (dense, see queue.numbered), job_id, title, the texts and prefilter_pass; confirmations see the whole ad. keep writes a stage's answers and reads them back. With nothing that passes,
+    the provider is not asked. One bad triage candidate fails its batch. A candidate id means an ad of its own batch only.
     """
-    sent = ads.where(passes("prefilter_pass"))
     rejected = screen_rejections(ads)
-    groups = F.floor(F.col("ord") / batch_size).cast("long") if batch_size else F.lit(0).cast("long")
+    batch = F.floor(F.col("ord") / batch_size).cast("long") if batch_size else F.lit(0).cast("long")
+    fields = [c for c in ("title", "company", "location", "description") if c in ads.columns]
+    sent = ads.where(passes("prefilter_pass")).select(batch.alias("batch"), "ord", "job_id", "title", compact_ad(F.lit("")).alias("ad"), F.to_json(F.struct(*fields)).alias("whole"))
 
     def triage(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
         ids = [j if isinstance(j, str) and j else f"index-{i}" for i, j in enumerate(pdf["job_id"])]
-        rows = [json.loads(a) | {"candidate_id": c} for a, c in zip(pdf["ad"], ids, strict=True)]
-        found = jsonx.parse_triage(provider.triage(rows, profile), set(ids))
-        pdf["candidate_id"], pdf["triage_reason"] = ids, [found.get(c) for c in ids]
-        pdf["triage_candidate_count"] = len(found)
-        return pdf[["ord", "job_id", "title", "ad", "candidate_id", "triage_reason", "triage_candidate_count"]]
+        reply = provider.triage([json.loads(a) | {"candidate_id": c} for a, c in zip(pdf["ad"], ids, strict=True)], profile)
+        found = jsonx.parse_triage(reply.text, set(ids))
+        return pdf.assign(candidate_id=ids, triage_reason=[found.get(c) for c in ids], triage_candidate_count=len(found), triage_usage=reply.usage, triage_model=reply.model)
 
-    packed = sent.withColumn("ad", compact_ad(F.lit(""))).withColumn("batch", groups).select("batch", "ord", "job_id", "title", "ad")
-    triaged = keep(packed.groupBy("batch").applyInPandas(triage, "ord long, job_id string, title string, ad string, candidate_id string, triage_reason string, triage_candidate_count int"), "triage")
+    schema = "batch long, ord long, job_id string, title string, ad string, whole string, candidate_id string, triage_reason string, triage_candidate_count int, triage_usage string, triage_model string"
+    triaged = keep(sent.groupBy("batch").applyInPandas(triage, schema), "triage")
 
     def confirm(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pdf["answer"] = [provider.confirm(json.loads(a), profile) for a in pdf["ad"]]
-            yield pdf[["candidate_id", "answer"]]
-
-    # Of ads that share a candidate id the last is confirmed, and all of them get its decision.
-    asked = triaged.where("triage_reason IS NOT NULL").groupBy("candidate_id").agg(F.max_by("ad", "ord").alias("ad"))
-    confirmed = keep(asked.mapInPandas(confirm, "candidate_id string, answer string").withColumn("decision", jsonx.strict_match("answer")), "confirmation")
-    joined = triaged.join(confirmed, "candidate_id", "left")
+            replies = [provider.confirm(json.loads(a), profile) for a in pdf["whole"]]
+            yield pdf[["batch", "candidate_id"]].assign(answer=[r.text for r in replies], usage=[r.usage for r in replies], answer_model=[r.model for r in replies])
+
+    # Of a batch's ads that share a candidate id the last is confirmed, and all of them get its decision.
+    asked = triaged.where("triage_reason IS NOT NULL").groupBy("batch", "candidate_id").agg(F.max_by("whole", "ord").alias("whole"))
+    answers = asked.mapInPandas(confirm, "batch long, candidate_id string, answer string, usage string, answer_model string")
+    confirmed = keep(answers.withColumn("decision", jsonx.strict_match("answer")), "confirmation")
+    joined = triaged.join(confirmed, ["batch", "candidate_id"], "left")
     done = joined.select(
         "ord", "job_id", "title", F.coalesce("decision.hit", F.lit(False)).alias("hit"), F.coalesce("decision.reason", F.lit(TRIAGE_REJECTION)).alias("reason"), F.lit(provider.name).alias("matcher"),
-        F.when(F.col("decision").isNotNull(), "confirmation").otherwise("triage").alias("stage"), F.lit(provider.model).alias("model"), "candidate_id", "triage_reason", "triage_candidate_count", F.col("answer").alias("raw_response"),
+        F.when(F.col("decision").isNotNull(), "confirmation").otherwise("triage").alias("stage"), F.coalesce("answer_model", "triage_model", F.lit(provider.model)).alias("model"),
+        "candidate_id", "triage_reason", "triage_candidate_count", "usage", "triage_usage", F.col("answer").alias("raw_response"),
     )
     return done.unionByName(rejected, allowMissingColumns=True)
 
 
-def ask(post: Callable[[dict], dict], payload: dict, tokens: int = MATCH_TOKENS) -> tuple[str, dict]:
-    """(text, usage) of a service. Without text, and if it stopped at its token limit, asks once more with twice the limit."""
-    for limit in (tokens, min(2 * tokens, RETRY_TOKENS)):
-        body = post(payload | {"max_output_tokens": limit})
-        nested = [p["text"] for i in body.get("output") or [] if isinstance(i, dict) for p in i.get("content") or [] if isinstance(p, dict) and isinstance(p.get("text"), str)]
-        text = body["output_text"] if isinstance(body.get("output_text"), str) else "".join(nested)
-        if text:
-            return text, jsonx.response_usage(body)
-        if (body.get("incomplete_details") or {}).get("reason") != "max_output_tokens" or tokens >= RETRY_TOKENS:
-            break
-    raise ValueError(f"the service gave no text: {jsonx.response_shape(body)}")
-
-
 def routed(ads: DataFrame, decisions: DataFrame) -> DataFrame:
     """ads with bucket: hits or discard, by decisions of the same ordinals; a missing or spare decision fails the query."""
-    joined = ads.join(decisions.select("ord", F.lit(True).alias("__there"), F.col("hit").alias("__hit")), "ord", "full_outer")
-    there = F.when(F.col("__there").isNull() | F.col("job_id").isNull() & F.col("title").isNull() & F.col("description").isNull(), F.raise_error(F.lit("decision count must match job count")).cast("string"))
-    return joined.withColumn("bucket", F.coalesce(there, F.when(F.col("__hit"), "hits").otherwise("discard"))).drop("__there", "__hit")
+    joined = ads.withColumn("__ad", F.lit(True)).join(decisions.select("ord", F.lit(True).alias("__there"), F.col("hit").alias("__hit")), "ord", "full_outer")
+    bad = F.when(F.col("__there").isNull() | F.col("__ad").isNull(), F.raise_error(F.lit("decision count must match job count")).cast("string"))
+    return joined.withColumn("bucket", F.coalesce(bad, F.when(F.col("__hit"), "hits").otherwise("discard"))).drop("__ad", "__there", "__hit")
+
+
+def run_metadata(decisions: DataFrame, run: dict[str, str | None]) -> DataFrame:
+    """One row: the run's names, how many ads, hits and discards it had. run: matcher, model, matched_at, input_path, timestamp."""
+    hits = F.count_if(F.col("hit").eqNullSafe(F.lit(True)))
+    counts = decisions.agg(F.count("*").alias("job_count"), hits.alias("hits_count"), (F.count("*") - hits).alias("discards_count"))
+    return counts.select(*(F.lit(run.get(c)).cast("string").alias(c) for c in ("matcher", "model", "matched_at", "input_path", "timestamp")), "job_count", "hits_count", "discards_count")
+
+
+def decision_log(decisions: DataFrame) -> DataFrame:
+    """(ord, line): one line for each decision."""
+    quoted = lambda c: F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("None"))
+    shown = {"job_id": F.coalesce("job_id", F.lit("None")), "eval_stage": quoted(stage_label("stage", "hit")), "hit": F.coalesce(F.col("hit").cast("string"), F.lit("none")), "title": quoted(F.col("title")), "reason": quoted(F.col("reason"))}
+    return decisions.select("ord", F.concat_ws(" ", F.lit("[decision]"), *(F.concat(F.lit(f"{n}="), c) for n, c in shown.items())).alias("line"))
 
 
 def title_vowel(title: str | Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,24 @@ def split_by_cap(ads: DataFrame, cap: int | None, verdict: str | Column = "prefi
     return marked.where(~late).drop("__last", "__n"), marked.where(late).drop("__last", "__n")
 
 
-def running_rank(ads: DataFrame, verdict: str | Column = "prefilter_pass", ord_: str = "ord", by: str | None = None) -> DataFrame:
-    """ads with passing_rank: how many rows pass up to and with this one (within by)."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(ord_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def numbered(rows: DataFrame, *by: str | Column, keep: Callable[[DataFrame, str], DataFrame], name: str = "ord") -> DataFrame:
+    """rows with name: 0, 1, 2, ... in the order of by, which must be total.
+
+    Rows are sorted by range; a row's number is its place in its range and the sizes of the ranges before, of which the driver adds up one number each. keep writes
+    the sorted rows and reads them back, so that they are dealt out once.
+    """
+    place = {"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    dealt = keep(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(place), "numbered")
+    sizes = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    start, at = [], 0
+    for part in sorted(sizes):
+        start += [F.lit(part), F.lit(at)]
+        at += sizes[part]
+    first = F.element_at(F.create_map(*start), F.col("__part")) if start else F.lit(0)
+    return dealt.withColumn(name, (first + F.col("__row")).cast("long")).drop("__part", "__row")
+
+
+def running_rank(ads: DataFrame, verdict: str | Column = "prefilter_pass", ord_: str = "ord", *, by: str) -> DataFrame:
+    """ads with passing_rank: how many rows of the same by pass up to and with this one."""
+    w = Window.partitionBy(by).orderBy(ord_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ads.withColumn("passing_rank", F.sum(passes(verdict).cast("long")).over(w))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +70,34 @@ def ascii_table(headers: list[str], rows: list[list[object]]) -> str:
     return "\n".join([rule, line(grid[0]), rule, *map(line, grid[1:]), rule])
 
 
+# The columns of both audit reports, and their titles.
+AUDIT_HEADERS = ("Search", "Already in memory", "Eval 1: Keywords", "Eval 2: LLM triage", "Eval 3: LLM confirmation", "Throttled")
+CAPTURE_TITLE, EVALUATION_TITLE, COVERAGE_TITLE = "Search audit", "Search evaluation audit", "Geo coverage"
+
+
+def audit_text(title: str, audits: DataFrame, coverage: DataFrame, evaluated: bool) -> str:
+    """A report of audits (one row for each search, a bounded list) in a grid, with the coverage section if it has rows. evaluated: with the counts of stats.audit_report, by label."""
+    counts = ("confirmed", "hits") if evaluated else ()
+    rows = audits.orderBy("search" if evaluated else "ord").collect()
+    grid = [[r["search"], r["already_in_memory"], r["passed_prefilter"], *([r[c] for c in counts] or ("", "")), "yes" if r["throttled"] else "no"] for r in rows]
+    lines = [title, ascii_table(list(AUDIT_HEADERS), grid)]
+    metrics = coverage.orderBy("metric_ord").collect()
+    if metrics:
+        width = max(len(m["metric"]) for m in metrics)
+        lines += ["", COVERAGE_TITLE, *(f"{m['metric'].ljust(width)}  {m['value']}" for m in metrics)]
+    return "\n".join(lines)
+
+
+def send_message(token: str, chat: str, text: str, base: str = "https://api.telegram.org") -> None:
+    """Posts the text to a chat; a refusal is a ValueError."""
+    body = json.dumps({"chat_id": chat, "text": text, "disable_web_page_preview": True}).encode()
+    try:
+        with urllib.request.urlopen(urllib.request.Request(f"{base}/bot{token}/sendMessage", body, {"Content-Type": "application/json"}), timeout=30) as reply:  # noqa: S310
+            reply.read()
+    except urllib.error.URLError as e:
+        raise ValueError(f"the message was not sent: {e}") from e
+
+
 def notify(text: str, send: Callable[[str], None] | None = None, token: str = "", chat: str = "") -> None:
     """Prints, or sends if a sender is given; a sender needs credentials."""
     if send is None:

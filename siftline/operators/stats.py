@@ -59,16 +59,16 @@ def batch_stats(ads: DataFrame, decisions: DataFrame, run: dict[str, str]) -> Da
 
 
 def label_counts(rows: DataFrame, label: str = "label", stage: str = "stage", hit: str = "hit") -> DataFrame:
-    """passed, rejected and hits of each label; a label of rejected ads only has a zero row."""
-    rejected = F.col(stage).eqNullSafe(F.lit("prefilter"))
-    return rows.groupBy(label).agg(F.count_if(~rejected).alias("passed"), F.count_if(rejected).alias("rejected"), F.count_if(F.col(hit).eqNullSafe(F.lit(True))).alias("hits"))
+    """passed, rejected, confirmed (sent on by triage) and hits of each label; a label of rejected ads only has a zero row."""
+    rejected, confirmed = (F.col(stage).eqNullSafe(F.lit(s)) for s in ("prefilter", "confirmation"))
+    return rows.groupBy(label).agg(F.count_if(~rejected).alias("passed"), F.count_if(rejected).alias("rejected"), F.count_if(confirmed).alias("confirmed"), F.count_if(F.col(hit).eqNullSafe(F.lit(True))).alias("hits"))
 
 
 def audit_report(audits: DataFrame, counts: DataFrame) -> DataFrame:
     """Full outer join of merged audits and label counts; Eval-1 counts come from decisions where there are any."""
     joined = audits.join(counts.withColumnRenamed("label", "search"), "search", "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return joined.select("search", *(zero(c) for c in COUNTS[:3]), F.coalesce("passed", "passed_prefilter", F.lit(0)).alias("passed_prefilter"), zero("rejected"), zero("hits"), F.coalesce("throttled", F.lit(False)).alias("throttled"))
+    return joined.select("search", *(zero(c) for c in COUNTS[:3]), F.coalesce("passed", "passed_prefilter", F.lit(0)).alias("passed_prefilter"), zero("rejected"), zero("confirmed"), zero("hits"), F.coalesce("throttled", F.lit(False)).alias("throttled"))
 
 
 # The rows of the coverage section, in order.
@@ -76,10 +76,14 @@ COVERAGE = (("Geo-visible jobs", "visible"), ("Seen by keyword searches", "both"
 
 
 def coverage(audits: DataFrame, ads: DataFrame, last: bool = False) -> DataFrame:
-    """(metric_ord, metric, value): coverage of location-only searches. ads: ord, job_id, source_searches, prefilter_pass; the first (or last) of an id counts."""
+    """(metric_ord, metric, value): coverage of location-only searches; no rows without one. ads: ord, job_id, source_searches, prefilter_pass.
+
+    The first of an id counts, with trimmed labels; with last (right after a capture) the last, with its labels as they are.
+    """
     pick = F.max_by if last else F.min_by
+    labels = F.coalesce("source_searches", F.array().cast("array<string>")) if last else clean_labels("source_searches")
     key = F.coalesce(F.when(F.col("job_id") != "", F.col("job_id")), F.to_json(F.struct(*[c for c in ads.columns if c != "ord"])))
-    one = ads.groupBy(key.alias("k")).agg(pick(F.struct(clean_labels("source_searches").alias("labels"), passes("prefilter_pass").alias("ok")), F.col("ord")).alias("ad"))
+    one = ads.groupBy(key.alias("k")).agg(pick(F.struct(labels.alias("labels"), passes("prefilter_pass").alias("ok")), F.col("ord")).alias("ad"))
     geo = F.exists("ad.labels", is_geo_only)
     word = F.exists("ad.labels", lambda x: ~is_geo_only(x) & (x != "unknown"))
     seen = audits.where(is_geo_only("search")).agg(F.sum("results_seen").alias("visible"), F.sum("already_in_memory").alias("in_memory"), F.count("*").alias("n"))

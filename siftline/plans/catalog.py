@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,7 +41,7 @@ _verdict = f"SELECT doc_id, source, {_good} AS good, {_bad} AS bad FROM document
 
 
 def _screened(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", "source", F.col("text").alias("description")).withColumns(screen.verdict({"description": F.col("description")}, GOOD, BAD, KINDS))
+    return screen.with_verdict(t(spark, d, "documents").select("doc_id", "source", "text"), {"description": F.col("text")}, GOOD, BAD, KINDS)
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND n_chars > 500")
@@ -55,7 +56,8 @@ def screen_flag(spark, d):
 
 @query(f"SELECT doc_id, array_to_string({_good}, ',') AS found FROM documents")
 def screen_keyword_list(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.array_join(textx.keyword_matches("text", GOOD), ",").alias("found"))
+    docs = t(spark, d, "documents").select("doc_id", "text").withColumn("fold", textx.folded("text"))
+    return docs.select("doc_id", F.array_join(textx.keyword_matches("text", GOOD, "fold"), ",").alias("found"))
 
 
 @query(
@@ -129,23 +131,75 @@ def page_links_explode(spark, d):
     return t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@query()
+# Text of the pages in SQL: a script's tags are no tags, a cut-off tag at the end is no text.
+_MASKED = """regexp_replace(regexp_replace(replace(html, '"</p>"', '"' || chr(1) || '/p' || chr(2) || '"'), '<!--.*?-->', chr(3), 'gs'), '<[^>]*$', '')"""
+
+
+def _tidied(c: str) -> str:
+    for entity, char in (("&amp;", "&"), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{char}')"
+    return f"trim(regexp_replace(replace(replace({c}, chr(1), '<'), chr(2), '>'), '{textx.DUCKDB_SPACE}+', ' ', 'g'))"
+
+
+_LINES = r"regexp_replace(regexp_replace(replace(m, chr(3), ''), '<(br|p|li|ul|ol)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(f"SELECT page_id, {_tidied(_LINES)} AS body FROM (SELECT page_id, {_MASKED} AS m FROM pages)")
 def page_text_udf(spark, d):
     return t(spark, d, "pages").select("page_id", html.text_udf("html").alias("body"))
 
 
+@query(
+    f"""WITH p AS (SELECT page_id, string_split_regex({_MASKED}, '</?(br|div|h[1-5]|li|ol|p|ul)\\b[^>]*>') AS parts FROM pages),
+    b AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
+    x AS (SELECT page_id, i, {_tidied("regexp_replace(replace(part, chr(3), ' '), '<[^>]*>', ' ', 'g')")} AS text FROM b)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS ord, text FROM x WHERE text <> ''"""
+)
+def page_blocks(spark, d):
+    return t(spark, d, "pages").select("page_id", F.inline(html.segments_udf("html"))).select("page_id", "ord", "text")
+
+
 @query()
 def page_segments_udf(spark, d):
     return t(spark, d, "pages").select("page_id", F.inline(html.segments_udf("html"))).select("page_id", "ord", "text", F.array_join("tags", ",").alias("tags"))
 
 
-_CARD = """'<div class="base-card" data-entity-urn="urn:li:jobPosting:' || page_id || '"><h3 class="base-search-card__title">Ad ' || page_id || '</h3><time class="job-search-card__listdate" datetime="2024-01-01">1 day ago</time></div>'"""
+# A card with a field inside a field, a link with entities and spaces, and every field that cards have.
+_CARD = """'<div class="x base-card" data-entity-urn="urn:li:jobPosting:' || page_id || '"><a class="base-card__full-link" href=" /v?a=1&amp;amp;p=' || page_id || ' ">Link <b>' || page_id || '</b></a><h3 class="base-search-card__title">Ad &amp;amp; <i class="base-search-card__title">' || page_id || '</i></h3><a class="hidden-nested-link" href="/c">Co<span class="job-search-card__location">no</span></a><span class="job-search-card__location">Here</span><time class="job-search-card__listdate--new" datetime="2024-01-01">1 day ago</time></div>'"""
 
 
-@query("SELECT page_id::BIGINT AS page_id, page_id::VARCHAR AS job_id, 'Ad ' || page_id AS title, '1 day ago' AS posted, '2024-01-01' AS posted_date FROM pages")
+@query("SELECT page_id::BIGINT AS page_id, page_id::VARCHAR AS job_id, 'Ad & ' || page_id AS title, 'Cono' AS company, '/c' AS company_url, 'Here' AS location, '' AS benefit, '1 day ago' AS posted, '2024-01-01' AS posted_date, '/v?a=1&p=' || page_id AS url FROM pages")
 def card_parse_udf(spark, d):
-    pages = t(spark, d, "pages").select("page_id", F.expr(_CARD).alias("html"))
-    return pages.select("page_id", F.inline(html.cards_udf("html"))).select(F.col("page_id").cast("long"), "job_id", "title", "posted", "posted_date")
+    """Two cards' worth of markup around each page's id; the page itself comes first and holds no card."""
+    pages = t(spark, d, "pages").select("page_id", F.concat("html", F.expr(_CARD)).alias("html"))
+    return pages.select("page_id", F.inline(html.cards_udf("html"))).withColumn("page_id", F.col("page_id").cast("long"))
+
+
+_TAG = "CASE p_size % 3 WHEN 0 THEN 'h5' WHEN 1 THEN 'strong' ELSE 'p' END"
+_HEADING = "CASE p_size % 4 WHEN 0 THEN 'Requirements.' WHEN 1 THEN 'Krav:' WHEN 2 THEN 'About you' ELSE 'We are many.' END"
+_DETAIL = f"""concat('<h2 class="top-card-layout__title">', p_name, '</h2><div class="a show-more-less-html__markup"><p>Intro</p><', {_TAG}, '>', {_HEADING}, '</', {_TAG}, '><ul><li>', p_type, '</li></ul><section>more</section><p><strong>About us</strong></p><p>Cake</p></div><p>z</p>')"""
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, p_name AS title, p_type, p_size, 'Intro' || CASE WHEN p_size % 3 = 2 THEN ' ' ELSE '' END || {_HEADING} || ' ' || p_type || 'more About us Cake' AS description FROM part)
+    SELECT p_partkey, title, description, CASE WHEN p_size % 4 < 3 THEN {_HEADING} || chr(10) || p_type || chr(10) || 'more' ELSE description END AS requirements_text, CASE WHEN p_size % 4 < 3 THEN 'pattern' ELSE 'full_description' END AS method FROM x"""
+)
+def ad_sections(spark, d):
+    rows = t(spark, d, "part").select("p_partkey", F.expr(_DETAIL).alias("html"), F.col("p_partkey").cast("string").alias("job_id"))
+    cards = rows.select("p_partkey", "job_id", *(F.lit("").alias(c) for c in ("title", "company", "posted")))
+    found = capture.with_details(cards, rows.select("job_id", F.lit(200).alias("status"), "html"))
+    return found.select("p_partkey", "title", "description", "requirements_text", F.col("requirements_extraction_method").alias("method"))
+
+
+@query(
+    """SELECT n_nationkey::BIGINT AS ord, n_regionkey::VARCHAR AS search, 1::BIGINT AS pages_requested, 1::BIGINT AS results_seen, (n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000))::BIGINT AS already_in_memory, false AS throttled FROM nation"""
+)
+def capture_audits(spark, d):
+    """Five searches share each label; each has an audit of its own."""
+    card = """concat('<div class="base-card" data-entity-urn="a:jobPosting:', n_nationkey, '"><h3 class="base-search-card__title">', n_name, '</h3></div>')"""
+    pages = t(spark, d, "nation").select(F.col("n_nationkey").alias("search_ord"), F.col("n_regionkey").cast("string").alias("label"), F.lit(0).alias("page_no"), F.lit(200).alias("status"), F.expr(card).alias("html"))
+    seen = t(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").cast("string").alias("job_id"))
+    return capture.capture(pages, seen, F.lit("2024-01-20").cast("date"), 100)[1].drop("passed_prefilter")
 
 
 @query(
@@ -248,7 +302,7 @@ def queue_cap_running_count(spark, d):
 @query("SELECT conv_id, turn, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS passing_rank FROM conversations")
 def queue_running_rank(spark, d):
     rows = t(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("ok"))
-    return queue.running_rank(rows, "ok", "turn", "conv_id").select("conv_id", "turn", "passing_rank")
+    return queue.running_rank(rows, "ok", "turn", by="conv_id").select("conv_id", "turn", "passing_rank")
 
 
 _AUDITS = "SELECT o_orderkey AS ord, o_orderpriority AS search, 1 AS pages_requested, o_custkey % 7 AS results_seen, o_custkey % 3 AS already_in_memory, NULL::BIGINT AS passed_prefilter, o_orderstatus = 'P' AS throttled FROM orders"
@@ -289,7 +343,7 @@ def label_stats_exploded(spark, d):
     return stats.label_stats(_decided(spark, d))
 
 
-@query(f"SELECT label, count(*) FILTER (stage IS DISTINCT FROM 'prefilter') AS passed, count(*) FILTER (stage = 'prefilter') AS rejected, count(*) FILTER (hit) AS hits FROM ({_DEC}) GROUP BY label")
+@query(f"SELECT label, count(*) FILTER (stage IS DISTINCT FROM 'prefilter') AS passed, count(*) FILTER (stage = 'prefilter') AS rejected, count(*) FILTER (stage = 'confirmation') AS confirmed, count(*) FILTER (hit) AS hits FROM ({_DEC}) GROUP BY label")
 def label_counts(spark, d):
     return stats.label_counts(_decided(spark, d))
 
@@ -313,13 +367,13 @@ def coverage_metrics_unpivot(spark, d):
 
 
 @query(
-    f"""WITH m AS (SELECT search, sum(results_seen)::BIGINT AS results_seen FROM ({_AUDITS}) WHERE search < '4' GROUP BY search),
-    c AS (SELECT o_orderpriority AS search, count(*) FILTER (o_orderstatus = 'F') AS hits FROM orders WHERE o_orderpriority > '2' GROUP BY 1)
+    f"""WITH m AS (SELECT search, sum(results_seen)::BIGINT AS results_seen FROM ({_AUDITS}) GROUP BY search),
+    c AS (SELECT o_orderpriority || CASE WHEN o_orderstatus = 'P' THEN '?' ELSE '' END AS search, count(*) FILTER (o_orderstatus = 'F') AS hits FROM orders GROUP BY 1)
     SELECT coalesce(m.search, c.search) AS search, coalesce(results_seen, 0) AS results_seen, coalesce(hits, 0) AS hits FROM m FULL JOIN c ON m.search = c.search"""
 )
 def audit_full_outer(spark, d):
-    audits = stats.merge_audits(_audits(spark, d).where("search < '4'"))
-    counts = stats.label_counts(t(spark, d, "orders").where("o_orderpriority > '2'").select(F.col("o_orderpriority").alias("label"), F.lit("triage").alias("stage"), (F.col("o_orderstatus") == "F").alias("hit")))
+    audits = stats.merge_audits(_audits(spark, d))
+    counts = stats.label_counts(t(spark, d, "orders").select(F.concat("o_orderpriority", F.when(F.col("o_orderstatus") == "P", "?").otherwise("")).alias("label"), F.lit("triage").alias("stage"), (F.col("o_orderstatus") == "F").alias("hit")))
     return stats.audit_report(audits, counts).select("search", "results_seen", "hits")
 
 
@@ -362,10 +416,10 @@ def latest_run_argmax(spark, d):
 
 @query(
     """SELECT l.doc_id AS ord, l.doc_id::VARCHAR AS job_id, coalesce(nullif(d.source, ''), 'Untitled job') AS title, coalesce(d.lang, '') AS url, 'quality ' || quality AS reason
-    FROM labels l LEFT JOIN (SELECT doc_id::VARCHAR AS k, source, lang FROM documents WHERE doc_id % 2 = 0) d ON l.doc_id::VARCHAR = d.k WHERE toxic = 1"""
+    FROM labels l LEFT JOIN (SELECT doc_id::VARCHAR AS k, source, lang FROM documents) d ON l.doc_id::VARCHAR = d.k WHERE toxic = 1"""
 )
 def hit_report_join(spark, d):
-    ads = t(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("job_id"), F.col("source").alias("title"), F.col("lang").alias("url"))
+    ads = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("job_id"), F.col("source").alias("title"), F.col("lang").alias("url"))
     rows = t(spark, d, "labels").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("job_id"), F.lit("").alias("title"), (F.col("toxic") == 1).alias("hit"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("reason"))
     return report.current_hits(rows, ads)
 
@@ -427,16 +481,12 @@ class RuleProvider:
 
     name, model = "rule", "rule-1"
 
-    def triage(self, ads: list[dict], profile: str) -> str:
-        import json
-
-        return json.dumps({"candidates": [{"candidate_id": a["candidate_id"], "reason": "title"} for a in ads if a.get("title", "")[-1:] in ("1", "3", "5")]})
-
-    def confirm(self, ad: dict, profile: str) -> str:
-        import json
+    def triage(self, ads: list[dict], profile: str) -> evaluate.Reply:
+        return evaluate.Reply(json.dumps({"candidates": [{"candidate_id": a["candidate_id"], "reason": "title"} for a in ads if a.get("title", "")[-1:] in ("1", "3", "5")]}))
 
+    def confirm(self, ad: dict, profile: str) -> evaluate.Reply:
         hit = ad.get("company", "").startswith("e")
-        return json.dumps({"hit": hit, "reason": "company" if hit else "no company"})
+        return evaluate.Reply(json.dumps({"hit": hit, "reason": "company" if hit else "no company"}))
 
 
 @query(
@@ -449,6 +499,26 @@ def two_stage_fake_provider(spark, d):
     return evaluate.two_stage(ads, RuleProvider(), "profile", keep, batch_size=256).select("ord", "hit", "stage")
 
 
+@query("SELECT o_orderkey AS ord, o_orderkey % 10 IN (1, 3, 5) AND o_orderstatus = 'F' AS hit, CASE WHEN o_orderkey % 10 IN (1, 3, 5) THEN 'confirmation' ELSE 'triage' END AS stage, 'index-' || (row_number() OVER (PARTITION BY o_orderkey // 16 ORDER BY o_orderkey) - 1) AS candidate_id FROM orders")
+def two_stage_batches(spark, d):
+    """Ads without ids in many batches: index-0 and so on mean another ad in each."""
+    ads = t(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.lit(None).cast("string").alias("job_id"), F.col("o_orderkey").cast("string").alias("title"), F.when(F.col("o_orderstatus") == "F", "e").otherwise("x").alias("company"), F.lit("").alias("location"), F.lit("").alias("description"), F.lit("").alias("requirements_text"), F.lit(True).alias("prefilter_pass"), F.lit(None).cast("string").alias("prefilter_reason"))
+    return evaluate.two_stage(ads, RuleProvider(), "profile", lambda df, stage: df, batch_size=16).select("ord", "hit", "stage", "candidate_id")
+
+
+@query("SELECT vec_id AS ord, CASE WHEN label % 2 = 0 THEN 'hits' ELSE 'discard' END AS bucket FROM embeddings")
+def routing_blank_ads(spark, d):
+    """Ads without any text are routed like others."""
+    rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), *(F.lit(None).cast("string").alias(c) for c in ("job_id", "title", "description")), "label")
+    return evaluate.routed(rows.drop("label"), rows.select("ord", (F.col("label") % 2 == 0).alias("hit"))).select("ord", "bucket")
+
+
+@query("SELECT 'rule' AS matcher, '2024-01-01T00:00:00Z' AS matched_at, count(*) AS job_count, count(*) FILTER (toxic = 1) AS hits_count, count(*) FILTER (toxic IS DISTINCT FROM 1) AS discards_count FROM labels")
+def run_counts(spark, d):
+    rows = t(spark, d, "labels").select((F.col("toxic") == 1).alias("hit"))
+    return evaluate.run_metadata(rows, {"matcher": "rule", "matched_at": "2024-01-01T00:00:00Z"}).select("matcher", "matched_at", "job_count", "hits_count", "discards_count")
+
+
 @query("SELECT count(*) > 0 AND bool_and(toxic = 1) AS ok FROM labels WHERE doc_id = (SELECT min(doc_id) FROM labels WHERE toxic = 1)")
 def sentinel_assert(spark, d):
     rows = t(spark, d, "labels").where("toxic = 1").orderBy("doc_id").limit(1)
@@ -463,7 +533,8 @@ def title_vowel(spark, d):
 _HEAD = "CASE p_size % 5 WHEN 0 THEN 'Requirements:' WHEN 1 THEN 'We offer you ' || p_size WHEN 2 THEN '  ABOUT YOU -' WHEN 3 THEN 'Requirements are many.' ELSE p_name END"
 
 
-@query("SELECT p_partkey, p_size % 5 IN (0, 2) AS starts, p_size % 5 IN (1, 2) AS stops FROM part WHERE p_size % 5 < 4")
+@query("SELECT p_partkey, p_size % 5 IN (0, 2) AS starts, p_size % 5 IN (1, 2) AS stops FROM part")
 def heading_flags(spark, d):
-    rows = t(spark, d, "part").where("p_size % 5 < 4").select("p_partkey", F.expr(_HEAD).alias("line"))
+    """No name of a part is a heading (its rows come from the names themselves)."""
+    rows = t(spark, d, "part").select("p_partkey", F.expr(_HEAD).alias("line"))
     return rows.select("p_partkey", sections.is_heading(F.col("line"), sections.START_HEADINGS).alias("starts"), sections.is_heading(F.col("line"), sections.STOP_HEADINGS).alias("stops"))

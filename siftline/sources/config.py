@@ -17,6 +17,7 @@ ALIASES = {
     "f_AL": ("f_AL", "easy_apply"), "f_EA": ("f_EA", "easy_apply_alt"), "f_JIYN": ("f_JIYN", "in_network"), "f_VJ": ("f_VJ", "verified_jobs"),
     "f_C": ("f_C", "company_ids"), "f_PP": ("f_PP", "place_ids"), "sortBy": ("sortBy", "sort_by"),
 }
+# The origin parameter, and parameters of which a search needs one.
 ORIGIN = "JOB_SEARCH_PAGE_JOB_FILTER"
 NEEDED = ("keywords", "location", "geoId", "f_PP")
 
@@ -105,3 +106,9 @@ def sentinel(path: str, today: str) -> dict[str, str]:
     if not row.get("title") or not row.get("description"):
         raise ValueError("the sentinel ad needs a title and a description")
     return {"job_id": "sentinel-ad", "posted": "Today", "posted_date": today} | row
+
+
+def limits(card_limit: int | None = None, detail_limit: int | None = None, limit: int | None = None) -> tuple[int, int]:
+    """(cards to keep, details to read): each flag falls back to the one before it; limit to JOB_SEARCH_LIMIT, then 2."""
+    cards = next(x for x in (card_limit, limit, int(os.environ.get("JOB_SEARCH_LIMIT", "2"))) if x is not None)
+    return cards, max(cards if detail_limit is None else detail_limit, 0)

@@ -7,10 +7,14 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.html import Cards
-from ..schema import PAGES
+from ..functions import urls as urls_
+from ..functions.html import cards
+from ..schema import DETAILS, PAGES
 
 
 def fetch(url: str, timeout: float = 30) -> tuple[int, str]:
@@ -31,7 +35,7 @@ def paged(url: str, max_pages: int, page_size: int, delay: float, get: Callable[
             time.sleep(delay)
         status, body = get(f"{url}{'&' if '?' in url else '?'}start={page * max(page_size, 1)}")
         yield page, status, body
-        if status == 429 or len(Cards.of(body).cards) < max(page_size, 1):
+        if status == 429 or len(cards(body)) < max(page_size, 1):
             return
 
 
@@ -69,3 +73,31 @@ class LiveReader(DataSourceReader):
     def read(self, partition: SearchPartition) -> Iterator[tuple]:
         for page, status, body in paged(partition.url, self.pages, self.size, self.delay, fetch):
             yield partition.ord, partition.label, page, status, body
+
+
+def live(spark: SparkSession, urls: list[str], base: str, max_pages: int, page_size: int, delay: float) -> DataFrame:
+    """Pages of searches (schema.PAGES), read live; each is written by the program before it is used twice."""
+    if not base:
+        raise ValueError("live pages need an address")
+    spark.dataSource.register(LivePages)
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", urls_.search_label("u").alias("label"), urls_.page_url(base, "u", F.lit(None).cast("string")).alias("page")).collect()
+    by = {r["u"]: r for r in rows}
+    options = {"urls": "\n".join(by[u]["page"] for u in urls), "labels": "\n".join(by[u]["label"] for u in urls), "maxPages": str(max_pages), "pageSize": str(page_size), "requestDelaySeconds": str(delay), "enabled": "true"}
+    return spark.read.format("live_pages").options(**options).load()
+
+
+def live_details(base: str, delay: float, get: Callable[[str], tuple[int, str]] = fetch) -> Callable[[DataFrame], DataFrame]:
+    """cards -> their detail pages (schema.DETAILS), read live, one request after the other in each task."""
+    if not base:
+        raise ValueError("live pages need an address")
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            got = []
+            for job_id in pdf["job_id"]:
+                if delay > 0:
+                    time.sleep(delay)
+                got.append((job_id, *get(f"{base}/{job_id}")))
+            yield pd.DataFrame(got, columns=["job_id", "status", "html"])
+
+    return lambda cards: cards.select("job_id").mapInPandas(read, DETAILS)

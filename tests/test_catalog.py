@@ -29,3 +29,9 @@ def test_screen_is_catalyst_only(spark):
 def test_memory_join_is_anti(spark):
     plan = catalog.QUERIES["anti_join_memory"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "text" not in plan.split("ReadSchema")[1].split(">")[0]
+
+
+def test_each_keyword_is_looked_for_once(spark):
+    for name, n in (("screen_verdict", len(catalog.GOOD + catalog.BAD)), ("screen_keyword_list", len(catalog.GOOD))):
+        plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") == n, plan
