@@ -8,10 +8,12 @@ probability of their weighted Jaccard similarity, and a large count costs its lo
 up to a time at which every slot is likely full are made in numpy for a whole slice of texts at once.
 
 Scale: equal texts share one id (64-bit hash), so copies never meet in pairs. A band bucket links its members
-to one hub (the member with most bucket mates), never to each other. Where a connected
-area of such candidates has members that verified links do not join, those members are compared exactly with all of
-the area, in tiles of bounded size with a posting list each, so that no link is lost to the hub's choice; only links
-that join something new leave a tile. Verification reads 32-bit shingle hashes of the two texts. Components are found by
+to one hub (the member with most bucket mates), never to each other. A connected
+area of such candidates whose members verified links do not join is cut up by prefix filter: two similar bags share one of their 20 % + 1
+shingles that are rarest in the area, so only members that share one of those, across what is joined, stay in one area. Pages of one template, alike in their
+frequent shingles alone, fall apart here, in work that grows with their number. What is still mixed is compared exactly,
+in tiles of bounded size with a posting list each, so that no link is lost to the hub's choice; only links
+that join something new leave a tile. That last step grows with the square of an area of texts that are chained by a similarity just below the threshold. Verification reads 32-bit shingle hashes of the two texts. Components are found by
 star contraction over DataFrames with checkpoints.
 
 Defined cases: a null text, or one without words, is in a class of its own; a null doc_id keeps its row, and a
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, binaries, components, cut, map_arrow, mapped, mix, shingles, slices, span_hashes, table, words, written
 
-SLOTS, BANDS, ROWS = 128, 32, 4
+SLOTS, BANDS, ROWS = 160, 32, 5
 SIMILARITY = 0.8
 #: Texts of one area of candidates that a task compares at once (with as many others).
 TILE = 2048
@@ -195,6 +197,36 @@ def _unexplained(group: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(area, size) of the areas that verified links do not join."""
+    return placed.groupBy("area").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("area", "size")
+
+
+def refined(placed: DataFrame, bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """placed (tid, area, comp) in smaller areas, which still hold every similar pair of one area across two comps; texts without such a candidate are left out.
+
+    A bag of n with similarity s to another shares s * n with it at least, so the n - ceil(s * n) + 1 first of each, in any one order, have an element in common. The order
+    is by how many texts of the area have an element (which counts repeats apart), then by its value; an element of one text only is in front and never shared.
+    """
+
+    def elements(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint32)
+            item = (x.astype(U64) << U64(32)) | (np.arange(len(x)) - np.searchsorted(x, x)).astype(U64)
+            row = pa.array(np.full(len(x), i, np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(4)), pa.array(item.view(np.int64))], names=["tid", "area", "comp", "n", "item"])
+
+    held = map_arrow(placed.join(bags, "tid").select("tid", "area", "comp", "n", "bag"), elements, "tid long, area long, comp long, n long, item long")
+    common = cut(held.groupBy("area", "item").agg(F.count("*").alias("texts")).where("texts > 1"))
+    known = held.join(common, ["area", "item"])
+    by = Window.partitionBy("tid")
+    place = F.row_number().over(by.orderBy("texts", "item")) + F.col("n") - F.count("*").over(by)
+    first = cut(known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("area", "item", "tid", "comp"))
+    bucket = cut(first.groupBy("area", "item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("tid").alias("hub")).where("lo < hi").select("area", "item", "hub"))
+    met = components(first.join(bucket, ["area", "item"]).select(F.col("tid").alias("a"), F.col("hub").alias("b")))
+    return placed.select("tid", "comp").join(met.toDF("tid", "area"), "tid")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(a, b): similar pairs of distinct texts that connect every class. docs has tid and text."""
     made = written(signed(docs), "bagminhash")
@@ -210,7 +242,8 @@ def links(docs: DataFrame) -> DataFrame:
     star = cut(star)
     first = cut(verified(star, bags))
     placed = components(star).toDF("tid", "area").join(components(first).toDF("tid", "root"), "tid", "left").select("tid", "area", F.coalesce("root", "tid").alias("comp"))
-    mixed = placed.groupBy("area").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("area", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    placed = refined(cut(placed.join(_mixed(placed), "area", "left_semi")), bags)
+    mixed = _mixed(placed).select("area", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
     cell = lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"), F.when(F.col("tile") == o, 2).when(F.col("tile") < o, 0).otherwise(1).alias("side"))
     tiled = placed.join(mixed, "area").join(bags, "tid").withColumn("tile", F.pmod(F.xxhash64("tid"), F.col("tiles")).cast("int")).withColumn("cell", F.explode(F.transform(others, cell)))

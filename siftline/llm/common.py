@@ -31,26 +31,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder; a cluster must name it."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siftline-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
 
+#: Paths of tables that written() made and nobody dropped, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is read by column."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_made(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of written() that no plan needs any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names (in any case), so that columns of these names can be added."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone)) if gone & {c.lower() for c in df.columns} else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -202,25 +222,30 @@ def binaries(parts: list[np.ndarray]) -> pa.Array:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """(node, root) of every node of the edges: root is the least node of its connected component.
 
-    Alternating large-star and small-star steps over DataFrames; each halves the depth, so that a few
-    rounds do even for long chains. Nothing but a count of changes reaches the driver. Lineage is cut by
-    checkpoints in the shared folder.
+    Alternating large-star and small-star steps over DataFrames; each halves the depth, so that a few rounds do even for long chains. Only a count and a sum of
+    hashes of a round's links reach the driver: a round that changes neither is the last. Lineage is cut by checkpoints in the shared folder, also before
+    the join in which a root meets all its links, so that adaptive execution can split it there.
     """
+
+    def state(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    before = state(now)
     for _ in range(rounds):
+        if not before[0]:
+            break
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        new = cut(small.where("u <> v").distinct())
-        changed = new.exceptAll(now).limit(1).count() + now.exceptAll(new).limit(1).count()
-        now = new
-        if not changed:
+        now = cut(small.where("u <> v").distinct())
+        after = state(now)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
-
-
