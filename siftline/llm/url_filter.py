@@ -2,19 +2,18 @@
 
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest
 rule string wins, and a url without a rule gets the default verdict. The host's labels are reversed
-("www.example.org" is "org.example.www."), so a rule's host is a prefix of every host that it fits, and a rule becomes
-the interval of keys that start with reversed host, space and path. A distinct url stands in the sweep once for each of
-its host's levels that has rules. Urls and rules are sorted together by key; a window carries the last rule that opened, with its stack
-of enclosing rules, and the stack is popped to the longest rule that is still a prefix of the key. (The intervals
-are nested, so every rule that is open at a key is on the stack of the last one that opened.)
+("www.example.org" is "org.example.www."), so a rule's host is a prefix of every host that it fits, and becomes the interval of keys that start with it. Rule hosts
+and urls are sorted together by this key and swept once. Intervals are nested, and those of one depth (number of labels) are disjoint: so the stack of active rule hosts is, for each depth, the
+one opened last, as long as it still is a prefix of the key. Each url goes on to a second sweep with the rule hosts that were active at it, sorted by path: there the
+rule that opened last carries its stack of enclosing rules, and is popped to the longest that is still a prefix of the path.
 
-Scale: equal (host, path) pairs meet in one row first. The rules of one host level are swept in salts, one for each
-TARGET urls counted at that level, so that a level that holds a third of all urls ("com") is spread; rules are repeated for
-each salt. Rules may be as many as urls: nothing is broadcast unless Spark finds it below its own limit.
+Scale: equal (host, path) pairs meet in one row first. Both sweeps run in salts, one for each TARGET urls counted under a top-level label or a rule host,
+so that one that holds a third of all urls ("com") is spread; rules are repeated for each salt. Rules may be as many as urls: nothing is broadcast unless Spark finds it below its own
+limit. The driver sees the depths of the rule hosts (127 at most in the domain name system).
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; an empty host or a path shorter than the
 rule's fits none; repeated pages give repeated rows; ties (one rule given twice) give the
-stricter verdict (block); an empty table gives an empty result; other columns are not read.
+stricter verdict (block); an empty table gives an empty result; columns named host, path, rule and verdict are replaced, others are carried and not read.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, without
 
 #: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -52,15 +51,36 @@ def stacked(rules: DataFrame) -> DataFrame:
     return own.join(stacks.withColumnRenamed("under", "path"), ["level", "path"])
 
 
+def _salted(rows: DataFrame, by: str, target: int) -> DataFrame:
+    """(by, salts): how many salts each value of by has."""
+    return cut(rows.groupBy(by).agg(F.ceil(F.count("*") / F.lit(target)).cast("int").alias("salts")))
+
+
+def active(urls: DataFrame, levels: DataFrame, target: int) -> DataFrame:
+    """(host, path, level): every distinct url with each rule host whose interval it lies in, by one sweep. levels: (level), reversed rule hosts."""
+    depth = F.char_length("level") - F.char_length(F.replace("level", F.lit("."), F.lit("")))
+    top = lambda key: F.substring_index(key, ".", 1)
+    opened = levels.select(F.col("level").alias("key"), depth.alias("depth"), top("level").alias("top"))
+    points = urls.where("host <> ''").select("host", "path").distinct().withColumn("key", reversed_host(F.col("host"))).withColumn("top", top("key"))
+    points = cut(points.join(opened.select("top").distinct(), "top", "left_semi"))
+    depths = sorted(r["depth"] for r in opened.select("depth").distinct().collect())
+    if not depths:
+        return points.select("host", "path", F.col("key").alias("level"))
+    salts = _salted(points, "top", target)
+    none = F.lit(None).cast("string")
+    asked = points.join(salts, "top").select("top", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), F.lit(0).alias("depth"), "host", "path")
+    starts = opened.join(salts, "top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("top", "salt", "key", F.lit(0).alias("kind"), "depth", none.alias("host"), none.alias("path"))
+    sweep = Window.partitionBy("top", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stack = F.array(*(F.last(F.when((F.col("kind") == 0) & (F.col("depth") == d), F.col("key")), ignorenulls=True).over(sweep) for d in depths))
+    swept = starts.union(asked).withColumn("stack", stack).where("kind = 1")
+    return swept.select("host", "path", F.explode(F.filter("stack", lambda x: F.startswith(F.col("key"), x))).alias("level"))
+
+
 def judged(urls: DataFrame, rules: DataFrame, target: int = TARGET) -> DataFrame:
     """(host, path, rule, verdict) of every (host, path) of urls that a rule fits."""
     rules = stacked(rules)
-    labels = F.split(F.col("host"), r"\.")
-    n = F.size(labels)
-    levels = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.reverse(F.slice(labels, n - i + 1, i)), "."), F.lit(".")))
-    spread = urls.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(levels).alias("level"))
-    points = spread.join(rules.select("level").distinct(), "level", "left_semi")
-    salts = points.groupBy("level").agg(F.ceil(F.count("*") / F.lit(target)).cast("int").alias("salts"))
+    points = cut(active(urls, rules.select("level").distinct(), target))
+    salts = _salted(points, "level", target)
     opened = rules.join(salts, "level").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     opened = opened.select("level", "salt", "path", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
     asked = points.join(salts, "level").withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int"))
@@ -82,9 +102,8 @@ def rule_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RU
 
 def filtered(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """pages with host, path, rule and verdict instead of columns of these names."""
-    host, path = host_and_path(F.col(url))
-    own = pages.withColumn("__host", host).withColumn("__path", path)
-    own = own.drop("host", "path", "rule", "verdict").withColumnsRenamed({"__host": "host", "__path": "path"})
+    own = pages.select("*", *(c.alias(n) for n, c in zip(("__host", "__path"), host_and_path(F.col(url)), strict=True)))
+    own = without(own, "host", "path", "rule", "verdict").withColumnsRenamed({"__host": "host", "__path": "path"})
     found = cut(judged(own, rules))  # so that the join below can be split where one url is on very many pages
     return own.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
