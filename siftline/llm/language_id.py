@@ -4,14 +4,14 @@ A word that training saw is scored by its log frequency in each language; a word
 scored by the mean log frequency of its four-character n-grams (with marks for the word's ends), or of its
 three-, two- or one-character ones where no longer one is known. A text gets the language with the highest sum.
 
-Training reads at most TRAIN_DOCS documents of each language (those of least hash) and keeps at most WORDS words and GRAMS
-n-grams of each length and language, so the model's size is bounded by parameters and the number of
-languages; counting is distributed. Prediction is one pass without a shuffle.
+Training reads about TRAIN_DOCS documents of each language (keys whose hash is below that share of all hashes; copies of a key once) and keeps what
+occurs in them LEAST_TIMES times, so the model's size is bounded by the sample; counting is distributed, and no window or task gathers a language.
+Prediction is one pass without a shuffle.
 
 Defined cases: null texts and texts without a letter are 'und' with score 0; a text of letters that the model
 knows nothing about gets the most frequent language, with its share as score, and lang_known (the share of words that training saw,
 or an n-gram of two or more characters of) tells it apart; a null doc_id is neither
-held out nor learned from; empty texts, repeated rows and ties (the first language in code-point order) have one result a
+held out nor learned from; documents that share a key are learned from once (the least text); empty texts, repeated rows and ties (the first language in code-point order) have one result a
 row; without any labelled document everything is 'und'; texts are read whole; other columns are not read.
 """
 
@@ -24,17 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import mapped, table, without
 
-TRAIN_DOCS, WORDS, GRAMS = 1000, 20_000, 8_000
+TRAIN_DOCS = 1000
+#: A word or n-gram that a language's sample has less often tells nothing; its words are scored by their shorter n-grams.
+LEAST_TIMES = 3
 #: Words that a task counts before it hands them on.
 FLUSH = 20_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
-#: A text counts as so many words at most when scores are turned into a probability.
+#: A text counts as so many words at most when sums are turned into a probability; which language is first does not depend on it.
 EVIDENCE = 50
 MEMO = 100_000
 UNKNOWN = "und"
@@ -59,14 +61,14 @@ def grams(word: str, n: int) -> list[str]:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
     """Fits a model to the rows whose lang is not null."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    # Up to 1000 rows a language, Spark limits each task to those before it sorts a language in one place.
-    first = rows.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= TRAIN_DOCS)
-    limits = {r["lang"]: r["top"] for r in first.groupBy("lang").agg(F.max("h").alias("top")).collect()}
-    if not limits:
+    sizes = {r["lang"]: (r["n"], r["keys"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("keys")).collect()}
+    if not sizes:
         return Model([], np.zeros(0), {}, {})
-    shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    top = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
-    sample = rows.where(F.col("h") <= F.element_at(top, F.col("lang"))).select("lang", "text")
+    shares = {k: n for k, (n, _) in sizes.items()}
+    # Hashes are even over all longs, so a language's keys below this limit are about TRAIN_DOCS; no task sees a language's rows together.
+    limit = {k: min(2**63 - 1, TRAIN_DOCS * 2**64 // max(1, keys) - 2**63) for k, (_, keys) in sizes.items()}
+    top = F.create_map(*(F.lit(x) for k, v in limit.items() for x in (k, v)))
+    sample = rows.where(F.col("h") <= F.element_at(top, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(seen: Counter) -> pa.RecordBatch:
@@ -90,8 +92,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
             yield flush(seen)
 
     counted = mapped(sample, count, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
-    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram"))
-    kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("lang", "n", "gram", "times").collect()
+    kept = counted.where(F.col("times") >= LEAST_TIMES).select("lang", "n", "gram", "times").collect()
     return fitted([tuple(r) for r in kept], shares)
 
 
@@ -163,7 +164,7 @@ def judged(scores: Scores, text: str | None) -> tuple[str, float, float]:
         rows = np.fromiter(map(scores.__getitem__, part), np.int64, len(part))
         total += scores.matrix[rows].sum(0)
         known += int(scores.seen[rows].sum())
-    z = total * (min(len(words), EVIDENCE) / len(words)) + model.prior
+    z = (total + model.prior) * (min(len(words), EVIDENCE) / len(words))
     z -= z.max()
     p = np.exp(z)
     best = int(p.argmax())
@@ -175,7 +176,8 @@ def predict(scores: Scores, text: str | None) -> tuple[str, float]:
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_known."""
+    """docs with lang_pred, lang_score and lang_known instead of columns of these names."""
+    docs = without(docs, "lang_pred", "lang_score", "lang_known")
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "lang_score double", "lang_known double"])
     at = names.index(text)
