@@ -26,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import mapped, table, without
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 BUCKETS, DIMENSIONS, LENGTHS = 1 << 16, 8, (3, 4, 5, 6)
-PASSAGE = 16
+PASSAGE = 6
 #: Words whose n-grams are summed at once in training.
 BLOCK_WORDS = 1 << 16
-SOFT_STEPS, HARD_STEPS, RATE, DECAY, EPSILON = 20, 40, 0.3, 1e-4, 3e-4
+SOFT_STEPS, HARD_STEPS, RATE, DECAY, EPSILON = 40, 20, 0.3, 1e-4, 3e-4
 MEMO = 150_000
-_WORD = re.compile(r"[^\s.,;:!?\"()\[\]]+")
+_WORD = re.compile(r"[^\W_]+")  # marks at or in a word do not hide it
 
 
 def features(word: str) -> list[int]:
@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with toxic_score."""
+    """docs with toxic_score instead of a column of that name."""
+    docs = without(docs, "toxic_score")
     names = docs.columns
     at = names.index(text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["toxic_score double"])
