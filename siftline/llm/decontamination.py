@@ -195,7 +195,7 @@ def batch_leaks(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int,
                 r += 1
         for r in sorted(by_row) if not index.short else range(len(rows)):
             i, text, codes = rows[r]
-            yield from ((i, *leak) for leak in index.leaks(text, codes, by_row.get(r, [])))
+            yield from ((i, *leak) for leak in dict.fromkeys(index.leaks(text, codes, by_row.get(r, []))))
 
     rows, size = [], 0
     for i, value in enumerate(column):
@@ -240,4 +240,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", gra
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, start, end, edits of every benchmark passage found in a document."""
-    return found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).distinct()
+    return found_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

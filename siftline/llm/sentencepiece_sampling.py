@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import inverses
-from .common import U64, mapped, mix, powers, table
+from .common import U64, mapped, mix, powers, table, without
 
 SPACE = "▁"
 ALPHA = 1.0
@@ -263,9 +263,10 @@ def encode(pieces: Pieces, texts: list[str], keys: np.ndarray) -> list[np.ndarra
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, alpha: float = ALPHA, digest: bool = False) -> DataFrame:
-    """docs with piece_ids; with digest, instead: n_pieces, ids_crc32 (of little-endian int32 ids) and lossless (decoding gives the text)."""
+    """docs with piece_ids; with digest, instead: n_pieces, ids_crc32 (of little-endian int32 ids) and lossless (decoding gives the text). Columns of these names are replaced."""
     pieces = Pieces.load(path, alpha)
     seed = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")))
+    docs = without(docs, "piece_ids", "n_pieces", "ids_crc32", "lossless", "__seed")
     names = docs.columns
     extra = "n_pieces long, ids_crc32 long, lossless boolean" if digest else "piece_ids array<int>"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [extra])
@@ -317,8 +318,9 @@ def lossless(pieces: Pieces, texts: list[str | None], ids: list[np.ndarray]) ->
 
 
 def decoded(docs: DataFrame, ids: str = "piece_ids", path: str = MODEL) -> DataFrame:
-    """docs with decoded: the text of the ids; null for null."""
+    """docs with decoded (the text of the ids; null for null) instead of a column of that name."""
     pieces = Pieces.load(path)
+    docs = without(docs, "decoded")
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["decoded string"])
     at = names.index(ids)
