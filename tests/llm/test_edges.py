@@ -23,10 +23,12 @@ ROWS = [
 @pytest.fixture(scope="module")
 def lake(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
-    spark.createDataFrame(ROWS, DOCS).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(1, "http://EXAMPLE.org/es/x?q"), (2, None), (3, "no scheme"), (4, "https://a.b.example.org/en/12#t"), (5, "https://x.com"), (6, "x://y.com/de/1"), (6, "x://y.com/de/1"), (None, "http://org/")], "page_id long, url string").write.parquet(f"{d}/pages.parquet")
-    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 1, 1), (6, 0, 0), (None, 1, 1), (99, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, "the other cats of the town and the village"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    clash = {"lang_pred": F.lit("x"), "piece_ids": F.lit(7), "toxic": F.lit(9), "host": F.lit("h"), "Verdict": F.lit("v"), "rule": F.lit("r"), "license": F.lit("l"), "score": F.lit(2.0), "class_id": F.lit(-1), "tid": F.lit(3), "key": F.lit("k"), "h": F.lit(0), "c0": F.lit("c"), "item_id": F.lit(5), "n": F.lit(1)}
+    more = lambda df: df.withColumns({k: v for k, v in clash.items() if k not in df.columns})
+    more(spark.createDataFrame(ROWS, DOCS)).write.parquet(f"{d}/documents.parquet")
+    more(spark.createDataFrame([(1, "http://EXAMPLE.org/es/x?q"), (2, None), (3, "no scheme"), (4, "https://a.b.example.org/en/12#t"), (5, "https://x.com"), (6, "x://y.com/de/1"), (6, "x://y.com/de/1"), (None, "http://org/")], "page_id long, url string")).write.parquet(f"{d}/pages.parquet")
+    more(spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 1, 1), (6, 0, 0), (None, 1, 1), (99, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("t"))).write.parquet(f"{d}/labels.parquet")
+    more(spark.createDataFrame([(1, "the other cats of the town and the village"), (2, None), (3, "")], "item_id long, text string").withColumn("doc_id", F.lit("d"))).write.parquet(f"{d}/benchmark.parquet")
     e = str(tmp_path_factory.mktemp("empty"))
     for name in ("documents", "pages", "labels", "benchmark"):
         spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{e}/{name}.parquet")
@@ -53,7 +55,9 @@ def test_pipeline(spark, lake):
     rows = corpus_pipeline.run(spark, lake[0]).collect()
     ids = [r.doc_id for r in rows]
     assert {3, 4, 5}.isdisjoint(ids) and len(ids) == len(set(ids)) and ids.count(1) == 1 and 6 not in ids
-    assert [f for f in rows[0].__fields__] == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids"]
+    extra = ["lang_pred", "toxic", "host", "Verdict", "rule", "license", "score", "class_id", "tid", "key", "h", "c0", "item_id", "n"]
+    assert rows[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars", *extra, "piece_ids"]
+    assert {(r.lang_pred, r.toxic, r.tid) for r in rows} == {("x", 9, 3)} and all(isinstance(r.piece_ids, list) for r in rows)
     assert corpus_pipeline.run(spark, lake[1]).count() == 0
 
 
@@ -88,6 +92,22 @@ def test_language(spark, lake):
     assert language_id.predict(scores, "日本")[0] == "de" and language_id.predict(scores, None) == ("und", 0.0)
 
 
+def test_values_of_ties_and_long_texts(spark, lake):
+    """Copies have one result each, whatever their doc_id; long texts are judged as a whole."""
+    for name, columns in (("op8_toxicity", ("score", "predicted")), ("op3_language_id", ("lang_pred", "score")), ("op10_quality_rules", ("n_words", "kept")), ("op5_suffix_dedup", ("n_bytes", "n_removed", "kept_sha256"))):
+        got = {}
+        for r in registry.QUERIES[name](spark, lake[0]).collect():
+            got.setdefault(r.doc_id, set()).add(tuple(r[c] for c in columns))
+        assert got[1] == got[6] and len(got[6]) == 1, name
+    words = {r.doc_id: r.n_words for r in registry.QUERIES["op10_quality_rules"](spark, lake[0]).collect()}
+    assert words[7] == 9000 and words[8] == 9001
+    removed = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.op5_suffix_dedup(spark, lake[0]).collect()}
+    assert removed[7] == (len(LONG), len(LONG)) and removed[8] == (len(LONG) + 5, len(LONG))
+    long = spark.createDataFrame([(1, f"{LONG} the other cats of the town and the village {LONG}"), (2, LONG)], "doc_id long, text string")
+    found = decontamination.found_leaks(long, spark.read.parquet(f"{lake[0]}/benchmark.parquet")).collect()
+    assert [(r.doc_id, r.item_id, r.start) for r in found] == [(1, 1, len(LONG) + 1)]
+
+
 def test_language_accuracy(spark):
     done = language_id.op3_language_id(spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id")
     right, n = done.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
