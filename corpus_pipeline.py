@@ -5,6 +5,10 @@
 3. Suffix-array dedup: bytes that repeat in 200-byte strings go from the text; n_chars follows; bytes of a character that was cut apart go with it.
 4. Benchmark decontamination: documents with a benchmark passage go.
 5. SentencePiece: sampled piece ids are added.
+
+Defined cases: extra columns of documents are carried, whatever they are called, but one named piece_ids is replaced by the last stage; a null or letterless text has no language and goes;
+repeated rows are near-duplicates of each other; a null doc_id is a row like others, kept last of its class; very long texts are whole; an empty table gives an empty result. A stage's tables are
+deleted once its output is written; that of the last but one stage stays for the result, which reads it.
 """
 
 from __future__ import annotations
@@ -15,15 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import bag_minhash, decontamination, language_id, sentencepiece_sampling, suffix_dedup
-from siftline.llm.common import table, written
+from siftline.llm.common import MADE, drop_made, table, written
 
 MIN_SCORE = MIN_KNOWN = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identified(docs, language_id.train(docs))
+    names = docs.columns
+    by_place = docs.toDF(*(f"c{i}" for i in range(len(names))))  # whatever columns are called, none is taken for a prediction
+    doc_id, text, lang = (f"c{names.index(n)}" for n in ("doc_id", "text", "lang"))
+    found = language_id.identified(by_place, language_id.train(by_place, lang, text, doc_id), text)
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= MIN_SCORE) & (F.col("lang_known") >= MIN_KNOWN))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.withColumn(lang, F.col("lang_pred")).select(*by_place.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +65,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        before = len(MADE)
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{name}")
+            drop_made(spark, MADE[max(0, before - (i > 0)) : -1])
     return docs
