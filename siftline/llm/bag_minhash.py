@@ -9,7 +9,7 @@ up to a time at which every slot is likely full are made in numpy for a whole sl
 
 Scale: equal texts share one id (64-bit hash), so copies never meet in pairs. A band bucket links its members
 to one hub (the member with most bucket mates), never to each other. A connected
-area of such candidates whose members verified links do not join is cut up by prefix filter: two similar bags share one of their 20 % + 1
+area of more than AREA such candidates whose members verified links do not join is cut up by prefix filter: two similar bags share one of their 20 % + 1
 shingles that are rarest in the area, so only members that share one of those, across what is joined, stay in one area. Pages of one template, alike in their
 frequent shingles alone, fall apart here, in work that grows with their number. What is still mixed is compared exactly,
 in tiles of bounded size with a posting list each, so that no link is lost to the hub's choice; only links
@@ -35,8 +35,8 @@ from .common import U64, binaries, components, cut, map_arrow, mapped, mix, shin
 
 SLOTS, BANDS, ROWS = 160, 32, 5
 SIMILARITY = 0.8
-#: Texts of one area of candidates that a task compares at once (with as many others).
-TILE = 2048
+#: Texts of one area of candidates that a task compares at once (with as many others), and of an area that is not cut up first.
+TILE, AREA = 2048, 4096
 _STEP, _SLOT = U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7)
 
 
@@ -211,19 +211,20 @@ def refined(placed: DataFrame, bags: DataFrame, similarity: float = SIMILARITY)
 
     def elements(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
-            x = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint32)
+            x = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint32)
             item = (x.astype(U64) << U64(32)) | (np.arange(len(x)) - np.searchsorted(x, x)).astype(U64)
+            key = mix(mix(item) ^ U64(batch.column(1)[i].as_py() & (2**64 - 1)))  # of element and area; one that stands for two only adds candidates
             row = pa.array(np.full(len(x), i, np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(4)), pa.array(item.view(np.int64))], names=["tid", "area", "comp", "n", "item"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(key.view(np.int64))], names=["tid", "n", "key"])
 
-    held = map_arrow(placed.join(bags, "tid").select("tid", "area", "comp", "n", "bag"), elements, "tid long, area long, comp long, n long, item long")
-    common = cut(held.groupBy("area", "item").agg(F.count("*").alias("texts")).where("texts > 1"))
-    known = held.join(common, ["area", "item"])
+    held = map_arrow(placed.join(bags, "tid").select("tid", "area", F.col("n").cast("int").alias("n"), "bag"), elements, "tid long, n int, key long")
+    common = cut(held.groupBy("key").agg(F.count("*").cast("int").alias("texts")).where("texts > 1"))
     by = Window.partitionBy("tid")
-    place = F.row_number().over(by.orderBy("texts", "item")) + F.col("n") - F.count("*").over(by)
-    first = cut(known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("area", "item", "tid", "comp"))
-    bucket = cut(first.groupBy("area", "item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("tid").alias("hub")).where("lo < hi").select("area", "item", "hub"))
-    met = components(first.join(bucket, ["area", "item"]).select(F.col("tid").alias("a"), F.col("hub").alias("b")))
+    known = held.join(common, "key").withColumns({"place": F.row_number().over(by.orderBy("texts", "key")), "known": F.count("*").over(by)})
+    first = known.where(F.col("place") <= F.col("known") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("tid", "key")  # the n - known others come before
+    first = cut(first.join(placed.select("tid", "comp"), "tid"))
+    bucket = cut(first.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("tid").alias("hub")).where("lo < hi").select("key", "hub"))
+    met = components(first.join(bucket, "key").select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct())
     return placed.select("tid", "comp").join(met.toDF("tid", "area"), "tid")
 
 
@@ -242,7 +243,11 @@ def links(docs: DataFrame) -> DataFrame:
     star = cut(star)
     first = cut(verified(star, bags))
     placed = components(star).toDF("tid", "area").join(components(first).toDF("tid", "root"), "tid", "left").select("tid", "area", F.coalesce("root", "tid").alias("comp"))
-    placed = refined(cut(placed.join(_mixed(placed), "area", "left_semi")), bags)
+    placed = cut(placed.join(_mixed(placed), "area"))
+    large = placed.where(F.col("size") > AREA).drop("size")
+    placed = placed.where(F.col("size") <= AREA).select("tid", "comp", "area")
+    if not large.isEmpty():
+        placed = placed.union(refined(large, bags).select("tid", "comp", "area"))
     mixed = _mixed(placed).select("area", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
     cell = lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"), F.when(F.col("tile") == o, 2).when(F.col("tile") < o, 0).otherwise(1).alias("side"))

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -227,22 +227,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     the join in which a root meets all its links, so that adaptive execution can split it there.
     """
 
-    def state(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+    def settled(links: DataFrame) -> tuple[DataFrame, tuple]:
+        """links, written, and what tells them apart: counted while they are written."""
+        seen = Observation()
+        sums = (F.sum(F.xxhash64(*c).cast("decimal(38,0)")).alias(n) for n, c in (("a", ("u", "v")), ("b", ("v", "u"))))
+        done = cut(links.observe(seen, F.count(F.lit(1)).alias("n"), *sums))
+        return done, tuple(seen.get[k] for k in ("n", "a", "b"))
 
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = state(now)
+    now, before = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
         if not before[0]:
             break
         both = now.union(now.select("v", "u"))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = cut(small.where("u <> v").distinct())
-        after = state(now)
+        now, after = settled(small.where("u <> v").distinct())
         if after == before:
             break
         before = after
