@@ -12,7 +12,7 @@ Why characters: joining every word 3-gram of every document with its count would
 5-grams are a small fraction of the text, so that the count joins stay small. What they gather still grows with the corpus.
 
 Scale: one pass makes counts (pre-aggregated for each task), one scores. Where the distinct 5-grams are at most
-BROADCAST_GRAMS their log probabilities are broadcast (12 bytes each, under a 64-bit key that is made free of collisions); beyond that, documents' 5-gram counts are joined with them by
+BROADCAST_GRAMS their log probabilities are broadcast (16 bytes each, under a 64-bit key that is made free of collisions); beyond that, documents' 5-gram counts are joined with them by
 shuffle. The set of trusted ids is broadcast below BROADCAST_IDS and joined by shuffle beyond. Quantiles come from
 a histogram of log perplexity in steps of 0.001.
 
@@ -38,6 +38,8 @@ QUANTILE = 0.995
 SLACK = 1.5
 BROADCAST_GRAMS = 4_000_000
 BROADCAST_IDS = 2_000_000
+#: Log probabilities are summed as integers of 1 / UNIT: sums are the same in any order and on either way.
+UNIT = 1 << 24
 SLICE_CHARS = 1 << 19
 TASK_GRAMS = 1 << 19
 
@@ -163,28 +165,28 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
 def _scored_by_broadcast(docs: DataFrame, p: DataFrame) -> DataFrame:
     found = p.toArrow()
-    pairs, logs = [found.column(c).to_numpy() for c in ("gram", "high")], np.log(found.column("p").to_numpy())
+    *pairs, logs = (found.column(c).to_numpy() for c in ("gram", "high", "log_p"))
     seed = 0
     while len(np.unique(grams := _keyed(*pairs, seed))) < len(grams):  # every 5-gram of docs is in p, so keys stay exact
         seed += 1
     order = np.argsort(grams)
-    shared = docs.sparkSession.sparkContext.broadcast((grams[order], logs[order].astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((grams[order], logs[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, value = shared.value
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for rows, texts in _slices(batch.column(0)):
                 g, own, e = packed(texts)
                 by, new = _groups(g, e)
                 first = by[new]
-                log = np.empty(len(g))
+                log = np.empty(len(g), np.int64)
                 log[by] = value[np.searchsorted(known, _keyed(g[first], e[first], seed))][np.cumsum(new) - 1]
                 n[rows] = np.bincount(own)
-                total[rows] = np.bincount(own, weights=log)
+                total[rows] = np.add.reduceat(log, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(total)], names=[*batch.schema.names[1:], "n", "log_p"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "log_p double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "log_p long"])
     return mapped(docs, run, schema)
 
 
@@ -202,23 +204,23 @@ def _scored_by_join(docs: DataFrame, p: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(g[first]), pa.array(e[first]), pa.array(np.diff(np.append(first, len(g))))], names=[*names, "gram", "high", "times"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["gram long", "high long", "times long"])
-    sums = mapped(docs, run, schema).join(p, ["gram", "high"]).groupBy("row_text").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log("p")).alias("log_p"))
+    sums = mapped(docs, run, schema).join(p, ["gram", "high"]).groupBy("row_text").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("log_p")).alias("log_p"))
     return sums
 
 
 def perplexities(docs: DataFrame, ids: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """(doc_id, lang, trusted, n, log_p) of every row of docs (doc_id, lang, text). ids: distinct doc_ids of trusted documents."""
+    """(doc_id, lang, trusted, n, log_p in units of 1 / UNIT) of every row of docs (doc_id, lang, text). ids: distinct doc_ids of trusted documents."""
     small = ids.count() <= BROADCAST_IDS
     good = ids.select(F.col("doc_id").alias("__good"))
     marked = docs.join(F.broadcast(good) if small else good, F.col("doc_id") == F.col("__good"), "left").select("doc_id", "lang", "text", F.col("__good").isNotNull().alias("trusted"))
     grams = written(counted(marked.select("text", "trusted")), "kn-grams")
-    p = probabilities(grams)
+    p = probabilities(grams).select("gram", "high", F.round(F.log("p") * UNIT).cast("long").alias("log_p"))
     if grams.count() <= broadcast_grams:
         return _scored_by_broadcast(marked.select("text", "doc_id", "lang", "trusted"), p)
     # Equal texts have equal sums, so sums are by a hash of the text and come back by it.
     keyed = marked.withColumn("row_text", F.unhex(F.md5("text")))
     sums = _scored_by_join(keyed.where("text <> ''").select("text", "row_text").dropDuplicates(["row_text"]), p)
-    return keyed.drop("text").join(sums, "row_text", "left").select("doc_id", "lang", "trusted", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
+    return keyed.drop("text").join(sums, "row_text", "left").select("doc_id", "lang", "trusted", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("log_p", F.lit(0)).alias("log_p"))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -233,7 +235,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 def classified(docs: DataFrame, ids: DataFrame, quantile: float = QUANTILE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept of every row of docs (doc_id, lang, text)."""
-    log_ppl = F.when(F.col("n") > 0, -F.col("log_p") / F.col("n"))
+    log_ppl = F.when(F.col("n") > 0, -F.col("log_p") / F.lit(float(UNIT)) / F.col("n"))
     scored = written(perplexities(docs, ids, broadcast_grams).withColumn("log_ppl", log_ppl), "kn-scores")
     limits = thresholds(scored, quantile).withColumnRenamed("lang", "__lang")
     joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
