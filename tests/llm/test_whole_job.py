@@ -245,3 +245,11 @@ def test_leaks_by_brute_force(spark):
             if row.min() <= decontamination.budget(len(a)):
                 want[d, j] = int(row.min())
     assert got == want and len(want) > 10
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Learned from the other documents' labels alone. Some labelled texts hold no toxic word at all, so recall has a ceiling below 1."""
+    path = DATA.replace("sf0.001", "sf0.1")
+    done = toxicity.op8_toxicity(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    hit, said, toxic = done.select(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert hit / toxic >= 0.65 and hit / said >= 0.8, (hit, said, toxic)
