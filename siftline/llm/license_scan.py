@@ -171,7 +171,12 @@ r AS (SELECT name, term, (1 + ln(tf)) * idf AS v FROM tt JOIN idf USING (term)),
 s AS (SELECT header, name, round(sum(w * v) / (any_value(wn) * any_value(vn)), 6) AS cosine FROM l JOIN r USING (term)
   JOIN (SELECT header, sqrt(sum(w * w)) AS wn FROM l GROUP BY header) USING (header) JOIN (SELECT name, sqrt(sum(v * v)) AS vn FROM r GROUP BY name) USING (name) GROUP BY header, name),
 b AS (SELECT header, split_part(name, '#', 1) AS name, cosine FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY cosine DESC, name) AS k FROM s WHERE cosine >= {THRESHOLD}) WHERE k = 1),
-x AS (SELECT f.*, name, cosine FROM f LEFT JOIN b USING (header)),
+u AS (SELECT DISTINCT header, unnest(string_split(header, chr(10))) AS piece FROM h WHERE header NOT IN (SELECT header FROM b)),
+pl AS (SELECT piece, term, (1 + ln(tf)) * idf AS w FROM (SELECT piece, term, count(*) AS tf FROM (SELECT piece, unnest(regexp_extract_all(lower(piece), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT piece FROM u)) GROUP BY piece, term) JOIN idf USING (term)),
+ps AS (SELECT piece, name, round(sum(w * v) / (any_value(wn) * any_value(vn)), 6) AS cosine FROM pl JOIN r USING (term)
+  JOIN (SELECT piece, sqrt(sum(w * w)) AS wn FROM pl GROUP BY piece) USING (piece) JOIN (SELECT name, sqrt(sum(v * v)) AS vn FROM r GROUP BY name) USING (name) GROUP BY piece, name),
+b2 AS (SELECT header, split_part(name, '#', 1) AS name, cosine FROM (SELECT header, name, cosine, row_number() OVER (PARTITION BY header ORDER BY cosine DESC, name) AS k FROM u JOIN ps USING (piece) WHERE cosine >= {THRESHOLD}) WHERE k = 1),
+x AS (SELECT f.*, name, cosine FROM f LEFT JOIN (SELECT * FROM b UNION ALL SELECT * FROM b2) USING (header)),
 g AS (SELECT dir AS up, name AS given FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, name) AS k FROM x WHERE file = 'LICENSE' AND name IS NOT NULL) WHERE k = 1),
 n AS (SELECT dir, given, up FROM (SELECT d.dir, given, up, row_number() OVER (PARTITION BY d.dir ORDER BY length(up) DESC) AS k FROM (SELECT DISTINCT dir FROM x) d JOIN g ON d.dir = up OR starts_with(d.dir, up || '/')) WHERE k = 1)
 SELECT doc_id, dir || '/' || file AS path, coalesce(name, given) AS license, cosine,
