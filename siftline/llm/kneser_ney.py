@@ -12,8 +12,8 @@ Why characters: joining every word 3-gram of every document with its count would
 5-grams are a small fraction of the text, so that the count joins stay small. What they gather still grows with the corpus.
 
 Scale: one pass makes counts (pre-aggregated for each task), one scores. Where the distinct 5-grams are at most
-BROADCAST_GRAMS their log probabilities are broadcast (16 bytes each, under a 64-bit key that is made free of collisions); beyond that, documents' 5-gram counts are joined with them by
-shuffle. The set of trusted ids is broadcast below BROADCAST_IDS and joined by shuffle beyond. Quantiles come from
+BROADCAST_GRAMS their log probabilities are broadcast (16 bytes each, under a 64-bit key that is made free of collisions); beyond that, the text is
+written in blocks of about BLOCK_BYTES, each block's distinct 5-grams are joined with them by shuffle, and texts and answers meet by block. The set of trusted ids is broadcast below BROADCAST_IDS and joined by shuffle beyond. Quantiles come from
 a histogram of log perplexity in steps of 0.001.
 
 Defined cases: null texts and empty ones have null perplexity and are not kept; a null lang is a language of its own; a language
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ BROADCAST_IDS = 2_000_000
 UNIT = 1 << 24
 SLICE_CHARS = 1 << 19
 TASK_GRAMS = 1 << 19
+#: Text that shares one table of probabilities where they are not broadcast.
+BLOCK_BYTES = 1 << 26
 
 
 def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +75,9 @@ def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _groups(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, which places in it start a new 5-gram)."""
     by = np.lexsort((g, e)) if e.any() else np.argsort(g)
-    return by, np.append(True, (g[by[1:]] != g[by[:-1]]) | (e[by[1:]] != e[by[:-1]]))
+    new = np.ones(len(g), bool)
+    new[1:] = (g[by[1:]] != g[by[:-1]]) | (e[by[1:]] != e[by[:-1]])
+    return by, new
 
 
 def _keyed(g: np.ndarray, e: np.ndarray, seed: int) -> np.ndarray:
@@ -163,49 +168,105 @@ def probabilities(grams: DataFrame) -> DataFrame:
     return p.select(F.col("g").alias("gram"), F.col("e").alias("high"), "p")
 
 
+class Known:
+    """Log probabilities of 5-grams, found by a key that has no collisions among them; every 5-gram that is asked for must be there."""
+
+    def __init__(self, grams: np.ndarray, high: np.ndarray, logs: np.ndarray):
+        by, new = _groups(grams, high)
+        first = by[new]
+        pairs = grams[first], high[first]
+        self.seed = 0
+        while len(np.unique(keys := _keyed(*pairs, self.seed))) < len(keys):
+            self.seed += 1
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], logs[first][order]
+
+    def sums(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """(5-grams, sum of log probabilities) of each text."""
+        n, total = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+        for rows, texts in _slices(column):
+            g, own, e = packed(texts)
+            by, new = _groups(g, e)
+            first = by[new]
+            log = np.empty(len(g), np.int64)
+            log[by] = self.logs[np.searchsorted(self.keys, _keyed(g[first], e[first], self.seed))][np.cumsum(new) - 1]
+            n[rows] = np.bincount(own)
+            total[rows] = np.add.reduceat(log, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+        return n, total
+
+
+def _schema(docs: DataFrame, *more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + list(more))
+
+
 def _scored_by_broadcast(docs: DataFrame, p: DataFrame) -> DataFrame:
     found = p.toArrow()
-    *pairs, logs = (found.column(c).to_numpy() for c in ("gram", "high", "log_p"))
-    seed = 0
-    while len(np.unique(grams := _keyed(*pairs, seed))) < len(grams):  # every 5-gram of docs is in p, so keys stay exact
-        seed += 1
-    order = np.argsort(grams)
-    shared = docs.sparkSession.sparkContext.broadcast((grams[order], logs[order]))
+    shared = docs.sparkSession.sparkContext.broadcast(Known(*(found.column(c).to_numpy() for c in ("gram", "high", "log_p"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value = shared.value
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for rows, texts in _slices(batch.column(0)):
-                g, own, e = packed(texts)
-                by, new = _groups(g, e)
-                first = by[new]
-                log = np.empty(len(g), np.int64)
-                log[by] = value[np.searchsorted(known, _keyed(g[first], e[first], seed))][np.cumsum(new) - 1]
-                n[rows] = np.bincount(own)
-                total[rows] = np.add.reduceat(log, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+            n, total = shared.value.sums(batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(total)], names=[*batch.schema.names[1:], "n", "log_p"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["n long", "log_p long"])
-    return mapped(docs, run, schema)
+    return mapped(docs, run, _schema(docs.drop("text"), "n long", "log_p long"))
 
 
-def _scored_by_join(docs: DataFrame, p: DataFrame) -> DataFrame:
-    names = docs.columns[1:]
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (text, ...) with block, written: a block is a run of whole texts of one task, of about block_bytes."""
+    numbered = docs.withColumn("block", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for batch in batches:
-            for rows, texts in _slices(batch.column(0)):
-                g, own, e = packed(texts)
-                by = np.lexsort((g, e, own))
-                g, own, e = g[by], own[by], e[by]
-                first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (e[1:] != e[:-1]) | (own[1:] != own[:-1])))
-                at = pa.array(np.array(rows)[own[first]])
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(g[first]), pa.array(e[first]), pa.array(np.diff(np.append(first, len(g))))], names=[*names, "gram", "high", "times"])
+            if batch.num_rows:
+                ends = done + np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy().astype(np.int64))
+                starts = np.append(done, ends[:-1])
+                done = int(ends[-1])
+                block = (batch.column(batch.num_columns - 1).to_numpy() << 32) + starts // block_bytes
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(block)], names=batch.schema.names)
+
+    return written(mapped(numbered, run, numbered.schema), "kn-blocks")
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    """(block, gram, high): the distinct 5-grams of each block of docs (text, block); one may come twice where tasks share a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), at)), pa.array(grams), pa.array(high)], names=["block", "gram", "high"])
+
+        at, grams, high = -1, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            block = batch.column(1).to_numpy()
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for lo, hi in zip(first, [*first[1:], len(block)], strict=True):
+                if block[lo] != at or len(grams) > TASK_GRAMS:
+                    if len(grams):
+                        yield out()
+                    at, grams, high = int(block[lo]), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for _, texts in _slices(batch.column(0).slice(lo, hi - lo)):
+                    g, _, e = packed(texts)
+                    by, new = _groups(g, e)
+                    g, e = np.concatenate([grams, g[by][new]]), np.concatenate([high, e[by][new]])
+                    by, new = _groups(g, e)
+                    grams, high = g[by][new], e[by][new]
+        if len(grams):
+            yield out()
+
+    return mapped(docs, run, "block long, gram long, high long")
+
+
+def _scored_by_blocks(docs: DataFrame, p: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A block asks for each of its 5-grams once and gets their log probabilities back: a frequent 5-gram costs a row for each block, not for each text."""
+    made = blocked(docs, block_bytes)
+    answers = _asked(made.select("text", "block")).join(p, ["gram", "high"])
+    names = docs.columns[1:]
+
+    def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
+        n, total = Known(*(answer.column(c).to_numpy() for c in ("gram", "high", "log_p"))).sums(texts.column("text"))
+        return pa.table([*(texts.column(c) for c in names), pa.array(n), pa.array(total)], names=[*names, "n", "log_p"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:]] + ["gram long", "high long", "times long"])
-    sums = mapped(docs, run, schema).join(p, ["gram", "high"]).groupBy("row_text").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("log_p")).alias("log_p"))
-    return sums
+    return made.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _schema(docs.drop("text"), "n long", "log_p long"))
 
 
 def perplexities(docs: DataFrame, ids: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -217,10 +278,7 @@ def perplexities(docs: DataFrame, ids: DataFrame, broadcast_grams: int = BROADCA
     p = probabilities(grams).select("gram", "high", F.round(F.log("p") * UNIT).cast("long").alias("log_p"))
     if grams.count() <= broadcast_grams:
         return _scored_by_broadcast(marked.select("text", "doc_id", "lang", "trusted"), p)
-    # Equal texts have equal sums, so sums are by a hash of the text and come back by it.
-    keyed = marked.withColumn("row_text", F.unhex(F.md5("text")))
-    sums = _scored_by_join(keyed.where("text <> ''").select("text", "row_text").dropDuplicates(["row_text"]), p)
-    return keyed.drop("text").join(sums, "row_text", "left").select("doc_id", "lang", "trusted", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("log_p", F.lit(0)).alias("log_p"))
+    return _scored_by_blocks(marked.select("text", "doc_id", "lang", "trusted"), p)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:

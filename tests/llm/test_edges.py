@@ -256,6 +256,18 @@ def test_perplexity_paths_agree(spark, lake):
     assert a == b
 
 
+def test_perplexity_by_blocks(spark):
+    """Many small blocks, texts longer than one, repeated rows, other scripts, nulls and empty texts."""
+    texts = [EN, DE, None, "", LONG, "日本語の文章", EN, *(f"{EN} {i % 7} {'x' * (i % 50)}" for i in range(200))]
+    docs = spark.createDataFrame([(t, i, "en", i % 2 == 0) for i, t in enumerate(texts)], "text string, doc_id long, lang string, trusted boolean").repartition(3)
+    p = kneser_ney.probabilities(kneser_ney.counted(docs.select("text", "trusted"))).selectExpr("gram", "high", "cast(round(ln(p) * 1000) as long) log_p")
+    want = kneser_ney._scored_by_broadcast(docs, p).collect()
+    assert len(want) == len(texts)
+    for size in (1, 500, 1 << 26):
+        assert sorted(kneser_ney._scored_by_blocks(docs, p, size).collect(), key=lambda r: r.doc_id) == sorted(want, key=lambda r: r.doc_id)
+    assert {r.n for r in kneser_ney.blocked(docs, 500).groupBy("block").agg(F.count("*").alias("n")).collect()} > {1}
+
+
 def test_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = rng.integers(1, 1 << 62, 60, dtype=np.int64).astype(np.uint64)
