@@ -309,33 +309,45 @@ def merged_spans(found: np.ndarray) -> np.ndarray:
     return np.stack([found[first, 0], reach[np.append(first[1:], len(found)) - 1]], 1)
 
 
-def dedup_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with __kept (binary: the bytes left), __n_bytes, __n_removed, __n_spans; null texts count as empty."""
+def _located(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+    """docs without text, with __whole and __cuts (what spans found) and __raw: the text's bytes, null for a null text."""
     own = docs.withColumn("__tid", F.when(F.octet_length(text) >= length, F.xxhash64(text)))
     texts = own.where("__tid IS NOT NULL").select(F.col("__tid").alias("tid"), F.col(text).alias("text"))
     found = cut(spans(texts, length, gram)).select(F.col("tid").alias("__tid"), F.col("whole").alias("__whole"), F.col("cuts").alias("__cuts"))
-    joined = own.join(found, "__tid", "left").withColumn("__raw", F.coalesce(F.col(text), F.lit("")).cast("binary")).select(*docs.columns, "__whole", "__cuts", "__raw").drop(text)
-    names = joined.columns[:-3]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-3]] + ["__kept binary", "__n_bytes long", "__n_removed long", "__n_spans long"])
+    return own.join(found, "__tid", "left").withColumn("__raw", F.col(text).cast("binary")).select(*docs.columns, "__whole", "__cuts", "__raw").drop(text)
+
+
+def _left(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[int], list[int]]]:
+    """(rows, bytes left, bytes before, runs removed) of a batch of _located, in slices, so that what is left of a batch is never held as a whole."""
+    whole, cuts = batch.column(batch.num_columns - 3), batch.column(batch.num_columns - 2)
+    for lo, hi, data, at in slices(batch.column(batch.num_columns - 1)):
+        kept, parts = [], []
+        for i in range(hi - lo):
+            raw, found = data[at[i] : at[i + 1]].tobytes(), cuts[lo + i].as_py()
+            pairs = [[0, len(raw)]] if whole[lo + i].as_py() else np.frombuffer(found, np.int32).reshape(-1, 2).tolist() if found else []
+            end, left = 0, []
+            for a, b in pairs:
+                left.append(raw[end:a])
+                end = b
+            left.append(raw[end:])
+            kept.append(b"".join(left))
+            parts.append(len(pairs))
+        yield batch.slice(lo, hi - lo), kept, np.diff(at).tolist(), parts
+
+
+def dedup_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with __kept (binary: the bytes left), __n_bytes, __n_removed, __n_spans; null texts count as empty."""
+    located = _located(docs, text, length, gram)
+    names = located.columns[:-3]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in located.schema.fields[:-3]] + ["__kept binary", "__n_bytes long", "__n_removed long", "__n_spans long"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, size, gone, parts = [], [], [], []
-            for whole, cuts, raw in zip(*(batch.column(i) for i in range(len(names), len(names) + 3)), strict=True):
-                raw, cuts = raw.as_py(), cuts.as_py()
-                pairs = [[0, len(raw)]] if whole.as_py() else np.frombuffer(cuts, np.int32).reshape(-1, 2).tolist() if cuts else []
-                at, left = 0, []
-                for a, b in pairs:
-                    left.append(raw[at:a])
-                    at = b
-                left.append(raw[at:])
-                kept.append(b"".join(left))
-                size.append(len(raw))
-                gone.append(len(raw) - len(kept[-1]))
-                parts.append(len(pairs))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(kept, pa.binary())] + [pa.array(x, pa.int64()) for x in (size, gone, parts)], names=[*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
-
-    return mapped(joined, apply, schema)
+            for rows, kept, size, parts in _left(batch):
+                gone = [n - len(k) for n, k in zip(size, kept, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(names))] + [pa.array(kept, pa.binary())] + [pa.array(x, pa.int64()) for x in (size, gone, parts)], names=[*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
+
+    return mapped(located, apply, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,15 +357,18 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with the bytes that repeat removed from text; a null text stays null, a character cut apart goes whole."""
-    done = dedup_spans(docs.withColumn("__null", F.col(text).isNull()), text, length)
+    """docs with the bytes that repeat removed from text; a null text stays null, a character cut apart goes whole.
+
+    One pass over the text: a second one after dedup_spans would hold another Python worker, with a batch of its own, for each core.
+    """
+    located = _located(docs, text, length, GRAM)
     names = docs.columns
-    at = done.columns.index("__kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            none = batch.column(batch.schema.get_field_index("__null")).to_numpy(zero_copy_only=False)
-            texts = pa.array([None if n else raw.as_py().decode("utf-8", "ignore") for raw, n in zip(batch.column(at), none, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
+            for rows, kept, _, _ in _left(batch):
+                none = rows.column(rows.num_columns - 1).is_null().to_pylist()
+                texts = pa.array([None if n else k.decode("utf-8", "ignore") for k, n in zip(kept, none, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if c == text else rows.column(rows.schema.get_field_index(c)) for c in names], names=names)
 
-    return mapped(done, run, docs.schema)
+    return mapped(located, run, docs.schema)

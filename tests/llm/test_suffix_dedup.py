@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,23 @@ def test_kasai_goes_on_after_one_differing_byte():
     windows = [r[i : i + 200] for r in runs for i in range(len(r) - 199)]
     places = [a + i for a, r in zip(at, runs, strict=False) for i in range(len(r) - 199)]
     assert [bool(got[p]) for p in places] == [windows.count(w) > 1 for w in windows] and got.any()
+
+
+def test_cleaned_is_one_pass_over_the_text(spark):
+    texts = made(3)
+    docs = spark.createDataFrame([(t, i, "x") for i, t in enumerate(texts)], "text string, doc_id long, tid string")
+    done = S.cleaned(docs, length=60)
+    assert done.columns == docs.columns
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # each pass holds a Python worker and a batch for each core
+    want = {i: None if t is None else raw.decode("utf-8", "ignore") for i, (t, (_, _, _, raw)) in enumerate(zip(texts, brute(texts, 60), strict=True))}
+    assert {r.doc_id: r.text for r in done.collect()} == want
+
+
+def test_what_is_left_of_a_batch_comes_in_slices():
+    raw = [b"a" * 700_000, None, b"b" * 700_000, b"c" * 10]
+    cuts = [np.array([0, 5, 9, 10], np.int32).tobytes(), None, None, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([False, False, False, True]), pa.array(cuts, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "__whole", "__cuts", "__raw"])
+    found = list(S._left(batch))
+    assert [rows.column(0).to_pylist() for rows, *_ in found] == [[0, 1], [2, 3]]
+    assert [[len(k) for k in kept] for _, kept, _, _ in found] == [[699_994, 0], [700_000, 0]]
+    assert [size for _, _, size, _ in found] == [[700_000, 0], [700_000, 10]] and [parts for *_, parts in found] == [[2, 0], [0, 1]]
