@@ -219,14 +219,22 @@ def binaries(parts: list[np.ndarray]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+#: Links of one task and file between the rounds of components.
+LINKS = 1 << 17
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """(node, root) of every node of the edges: root is the least node of its connected component.
 
     Alternating large-star and small-star steps over DataFrames; each halves the depth, so that a few rounds do even for long chains. Only a count and a sum of
     hashes of a round's links reach the driver: a round that changes neither is the last. Lineage is cut by checkpoints in the shared folder, also before
-    the join in which a root meets all its links, so that adaptive execution can split it there.
+    the join in which a root meets all its links, so that adaptive execution can split it there. A round is written in files of about LINKS links,
+    however many shuffle partitions there are: writing many tiny files costs more than their rows.
     """
 
+    def few(links: DataFrame) -> DataFrame:
+        return links.coalesce(max(1, -(-before[0] // LINKS)))
+
     def settled(links: DataFrame) -> tuple[DataFrame, tuple]:
         """links, written, and what tells them apart: counted while they are written."""
         seen = Observation()
@@ -239,12 +247,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         if not before[0]:
             break
         both = now.union(now.select("v", "u"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now, after = settled(small.where("u <> v").distinct())
+        now, after = settled(few(small.where("u <> v").distinct()))
         if after == before:
             break
         before = after

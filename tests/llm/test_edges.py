@@ -333,3 +333,28 @@ def test_cleaned_text_stays_utf8(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in suffix_dedup.cleaned(docs).collect()}
     assert got == {0: "", 1: "x", 2: None, 3: "ok"}
+
+
+@pytest.mark.parametrize("per_task,most", [(1 << 17, 1), (1, 7)])
+def test_components_rounds_write_files_by_their_links(spark, monkeypatch, per_task, most):
+    from siftline.llm import common
+
+    files = []
+
+    def cut(df, real=common.cut):
+        files.append((done := real(df)).rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(common, "cut", cut)
+    monkeypatch.setattr(common, "LINKS", per_task)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 105)]
+        got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 105: 100}
+    assert len(files) > 3 and max(files[1:]) == most
