@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +44,11 @@ HEADING_TAGS = ("b", "h1", "h2", "h3", "h4", "h5", "strong")
 END_MARKS = " :.\\-–—"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it; Catalyst computes columns within higher-order functions and branches each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bare(c: Column) -> Column:
     """The text without white space, and then without marks, at its ends."""
     return F.regexp_replace(strip(c), f"^[{END_MARKS}]+|[{END_MARKS}]+$", "")
@@ -52,13 +60,24 @@ def _guarded(text: Column, chars: int, words: int) -> Column:
     return (text != "") & (F.char_length(text) <= chars) & (count <= words) & ~text.rlike("[.!]$")
 
 
-def matches_any(c: Column, patterns: list[str]) -> Column:
+def _joined(patterns: list[str]) -> str:
+    """One expression for all; where each is tied to the start as a whole, they are tried there only, not at every character."""
+    tied = all(p.startswith("^") and "|" not in re.sub(r"\([^()]*\)", "", p) for p in patterns)
     joined = "|".join(f"(?:{p})" for p in patterns).replace(r"\s", SPACE)
-    return bare(c).rlike(f"(?iu){joined}")
+    return f"(?iu)^(?:{joined})" if tied else f"(?iu){joined}"
+
+
+def matches_any(c: Column, patterns: list[str]) -> Column:
+    return bare(c).rlike(_joined(patterns))
+
+
+def _heads(text: Column, patterns: list[str]) -> Column:
+    """Is bare text a heading?"""
+    return F.coalesce(_guarded(text, MAX_CHARS, MAX_WORDS) & text.rlike(_joined(patterns)), F.lit(False))
 
 
 def is_heading(c: Column, patterns: list[str]) -> Column:
-    return F.coalesce(_guarded(bare(c), MAX_CHARS, MAX_WORDS) & matches_any(c, patterns), F.lit(False))
+    return _let(bare(c), lambda text: _heads(text, patterns))
 
 
 def is_heading_like(c: Column, tags: Column) -> Column:
@@ -72,7 +91,12 @@ def is_heading_like(c: Column, tags: Column) -> Column:
 def section(texts: str | Column, starts: list[str] = START_HEADINGS, stops: list[str] = STOP_HEADINGS) -> Column:
     """Lines of the section, joined by line breaks; '' without a start heading. texts: array of segment texts in order."""
     lines = col(texts)
-    first = F.array_position(F.transform(lines, lambda t: is_heading(t, starts)), True)
-    rest = F.when(first > 0, F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines)))
-    stop = F.array_position(F.transform(F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1))), lambda t: is_heading(t, stops)), True)
-    return F.coalesce(F.array_join(F.when(stop > 0, F.slice(rest, 1, stop.cast("int"))).otherwise(rest), "\n"), F.lit(""))
+    place = lambda texts, patterns: F.array_position(F.transform(texts, lambda t: _heads(t, patterns)), True).cast("int")
+
+    def kept(bares: Column, first: Column) -> Column:
+        start = F.greatest(first, F.lit(1))
+        stop = place(F.slice(bares, start + 1, F.greatest(F.size(bares), F.lit(1))), stops)
+        return _let(stop, lambda n: F.slice(lines, start, F.when(n > 0, n).otherwise(F.size(lines))))
+
+    found = _let(F.transform(lines, bare), lambda bares: _let(place(bares, starts), lambda first: F.when(first > 0, F.array_join(kept(bares, first), "\n"))))
+    return F.coalesce(found, F.lit(""))

@@ -88,10 +88,13 @@ def capture(pages: DataFrame, seen: DataFrame, today: Column, limit: int | None,
 
 def with_details(cards: DataFrame, details: DataFrame) -> DataFrame:
     """Inner join with detail pages, each parsed once; throttled ones drop their card. Values on the page win if their element is there, even if empty."""
-    page = details.where(~F.col("status").eqNullSafe(F.lit(429))).select("job_id", html.details_udf("html").alias("__d"))
-    rows = cards.join(page, "job_id").withColumns({c: F.coalesce(F.col(f"__d.{c}"), F.col(c)) for c in ("title", "company", "posted")})
-    rows = rows.withColumns({"description": F.col("__d.description"), "__section": sections.section(F.transform(F.col("__d.segments"), lambda s: s["text"]))})
-    return rows.withColumns({"requirements_text": F.coalesce(non_blank("__section"), F.col("description")), "requirements_extraction_method": F.when(F.col("__section") != "", "pattern").otherwise("full_description")}).drop("__d", "__section")
+    n = int(details.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: small files that take long to parse are dealt out as well
+    parsed = details.where(~F.col("status").eqNullSafe(F.lit(429))).select("job_id", "html").repartition(n, "job_id").select("job_id", html.details_udf("html").alias("__d"))
+    # The section is found beside the parser, not behind the join, which may have few tasks.
+    page = parsed.select("job_id", *(F.col(f"__d.{c}").alias(f"__{c}") for c in ("title", "company", "posted", "description")), sections.section(F.transform(F.col("__d.segments"), lambda s: s["text"])).alias("__section"))
+    rows = cards.join(page, "job_id").withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in ("title", "company", "posted")}).withColumn("description", F.col("__description"))
+    rows = rows.withColumns({"requirements_text": F.coalesce(non_blank("__section"), F.col("description")), "requirements_extraction_method": F.when(F.col("__section") != "", "pattern").otherwise("full_description")})
+    return rows.drop("__title", "__company", "__posted", "__description", "__section")
 
 
 def with_sentinel(ads: DataFrame, sentinel: DataFrame) -> DataFrame:
