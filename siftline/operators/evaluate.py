@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import NamedTuple, Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +85,33 @@ def stage_label(stage: str | Column, hit: str | Column) -> Column:
     return F.when(stage == "prefilter", "Eval 1: Keywords").when(stage == "triage", "Eval 2: LLM triage").when((stage == "confirmation") | hit.eqNullSafe(F.lit(True)), "Eval 3: LLM confirmation").otherwise("unknown")
 
 
+def _starts(part: pa.RecordBatch) -> np.ndarray:
+    """Places where another batch begins."""
+    keys = _keys(part)
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+
+
+def _keys(part: pa.RecordBatch) -> np.ndarray:
+    return part.column("batch").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+
+def whole_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, sorted by batch, cut so that no batch is in two parts."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        if not part.num_rows:
+            continue
+        cut = int(_starts(part)[-1])  # of the last batch more may come
+        if held and not cut and _keys(held[-1])[-1] == _keys(part)[0]:
+            held.append(part)
+            continue
+        if done := held + [part.slice(0, cut)] * (cut > 0):
+            yield pa.concat_batches(done)
+        held = [part.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 def two_stage(ads: DataFrame, provider: Provider, profile: str, keep: Callable[[DataFrame, str], DataFrame], batch_size: int | None = TRIAGE_BATCH) -> DataFrame:
     """Decisions for every ad: screen, a triage call for each batch of ads that pass (by ordinal; None: one call for all), one confirmation for each candidate.
 
@@ -91,17 +121,25 @@ def two_stage(ads: DataFrame, provider: Provider, profile: str, keep: Callable[[
     rejected = screen_rejections(ads)
     batch = F.floor(F.col("ord") / batch_size).cast("long") if batch_size else F.lit(0).cast("long")
     fields = [c for c in ("title", "company", "location", "description") if c in ads.columns]
-    sent = ads.where(passes("prefilter_pass")).select(batch.alias("batch"), "ord", "job_id", "title", compact_ad(F.lit("")).alias("ad"), F.to_json(F.struct(*fields)).alias("whole"))
-
-    def triage(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
-        ids = [j if isinstance(j, str) and j else f"index-{i}" for i, j in enumerate(pdf["job_id"])]
-        reply = provider.triage([json.loads(a) | {"candidate_id": c} for a, c in zip(pdf["ad"], ids, strict=True)], profile)
-        found = jsonx.parse_triage(reply.text, set(ids))
-        return pdf.assign(candidate_id=ids, triage_reason=[found.get(c) for c in ids], triage_candidate_count=len(found), triage_usage=reply.usage, triage_model=reply.model)
+    sent = ads.where(passes("prefilter_pass")).select(batch.alias("batch"), F.col("ord").cast("long").alias("ord"), *(F.col(c).cast("string").alias(c) for c in ("job_id", "title")), compact_ad(F.lit("")).alias("ad"), F.to_json(F.struct(*fields)).alias("whole"))
+
+    def triage(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_batches(parts):
+            cuts = [*_starts(part), part.num_rows]
+            jobs, ads, made = part.column("job_id").to_pylist(), part.column("ad").to_pylist(), []
+            for first, end in pairwise(cuts):
+                ids = [j or f"index-{i}" for i, j in enumerate(jobs[first:end])]
+                reply = provider.triage([json.loads(a) | {"candidate_id": c} for a, c in zip(ads[first:end], ids, strict=True)], profile)
+                found = jsonx.parse_triage(reply.text, set(ids))
+                made += [(c, found.get(c), len(found), reply.usage, reply.model) for c in ids]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "candidate_id", "triage_reason", "triage_candidate_count", "triage_usage", "triage_model"])
 
     schema = "batch long, ord long, job_id string, title string, ad string, whole string, candidate_id string, triage_reason string, triage_candidate_count int, triage_usage string, triage_model string"
-    triaged = keep(sent.groupBy("batch").applyInPandas(triage, schema), "triage")
+    # Batches are read one after another from sorted rows; a group of its own for each would cost more than its ads. The number of partitions is given, since small rows take long.
+    n = int(ads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(n, "batch").sortWithinPartitions("batch", F.col("ord").asc_nulls_last())
+    triaged = keep(dealt.mapInArrow(triage, schema), "triage")
 
     def confirm(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
